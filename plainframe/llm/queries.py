@@ -7,10 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, line_dedup, near_dedup, quality_rules, secret_scan, substring_dedup, token_counts
+from . import bpe, exact_dedup, line_dedup, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 from .shared import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn_from=~toxicity.held_out())
+    out = toxicity.score(docs, index)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.transform("evidence", lambda x: x["id"]).alias("evidence"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -21,6 +28,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=4).drop("print")
 
@@ -50,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_line_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_token_counts, op8_byte_bpe, op9_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_line_dedup, op4_best_fit_packing, op5_minhash_near_dedup, op6_exact_dedup, op7_token_counts, op8_byte_bpe, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
