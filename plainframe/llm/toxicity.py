@@ -259,25 +259,34 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return index
 
 
+class Lookup:
+    """Scores and nearest examples of texts; equal weights are looked up once for each call."""
+
+    def __init__(self, index: Index):
+        self.index, self.column, self.n_terms = index, index.column, len(index.buckets) + 1
+
+    def __call__(self, texts: pa.Array) -> list[tuple[float, list[tuple[float, int]]]]:
+        index, known, out = self.index, {}, []
+        counts, found = term_counts(texts, self.column, self.n_terms)
+        for n_words, (t, n) in zip(counts, found):
+            key = (n_words if len(t) else n_words > 0, t.tobytes(), n.tobytes())
+            if key not in known:
+                near = index.nearest(*index.vector(int(n_words), t, n)) if index.starts is not None else []
+                known[key] = index.score(index.vote(near)), near
+            out.append(known[key])
+        return out
+
+
 def _score(shared, kind: pa.DataType):
     evidence = pa.list_(pa.struct([("id", kind), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        column, n_terms = index.column, len(index.buckets) + 1
+        look = Lookup(index)
         for batch in slices(batches, "text"):
-            counts, found = term_counts(batch.column("text"), column, n_terms)
-            known: dict = {}
-            scores, why = [], []
-            for n_words, (t, n) in zip(counts, found):
-                key = (n_words if len(t) else n_words > 0, t.tobytes(), n.tobytes())
-                if key not in known:
-                    near = index.nearest(*index.vector(int(n_words), t, n)) if index.starts is not None else []
-                    known[key] = index.score(index.vote(near)), [{"id": index.ids[p], "similarity": s, "label": int(index.labels[p])} for s, p in near[:EVIDENCE]]
-                score, reasons = known[key]
-                scores.append(score)
-                why.append(reasons)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64()), pa.array(why, evidence)], ["id", "score", "evidence"])
+            found = look(batch.column("text"))
+            why = [[{"id": index.ids[p], "similarity": s, "label": int(index.labels[p])} for s, p in near[:EVIDENCE]] for _, near in found]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x for x, _ in found], pa.float64()), pa.array(why, evidence)], ["id", "score", "evidence"])
 
     return run
 
@@ -294,3 +303,18 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 def held_out(id_col: str = "doc_id"):
     """True for the fifth of ids that labels are never learned from."""
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+
+
+def _keep(shared, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared.value
+        look = Lookup(index)
+        for batch in slices(batches, text_col):
+            yield batch.filter(pa.array([score < 0.5 for score, _ in look(batch.column(text_col))], pa.bool_()))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
+    """The rows and columns of docs whose score is under 0.5."""
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(index), text_col), docs.schema)
