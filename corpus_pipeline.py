@@ -53,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after another, over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}", even=False)
     return STAGES[-1][1](spark, docs, sf_dir)

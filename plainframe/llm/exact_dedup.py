@@ -96,15 +96,14 @@ def _send(owner_bits: int):
     return run
 
 
-def _answer(pdf):
+def _answer(sent: pa.Table) -> pa.Table:
     """An owner: for each list it got, a bitmap of the fingerprints that another list holds too."""
-    lists = [rice_decode(n, k, q, r) for n, k, q, r in zip(pdf["n"], pdf["k"], pdf["quotients"], pdf["remainders"])]
+    lists = [rice_decode(*x) for x in zip(*(sent.column(c).to_pylist() for c in ("n", "k", "quotients", "remainders")))]
     values, place, seen = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     marks = seen[place] > 1
     ends = np.cumsum([len(x) for x in lists])
-    out = pdf[["owner", "sender"]].copy()
-    out["bitmap"] = [np.packbits(marks[e - len(x) : e]).tobytes() for x, e in zip(lists, ends)]
-    return out
+    bitmaps = [np.packbits(marks[e - len(x) : e]).tobytes() for x, e in zip(lists, ends)]
+    return sent.select(["owner", "sender"]).append_column("bitmap", pa.array(bitmaps, pa.binary()))
 
 
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +124,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = write_table(rows.select(F.monotonically_increasing_id().alias("uid"), "id", F.xxhash64("text").alias("fp"), digest), "exact-base")
     owner_bits = max(partitions(spark) - 1, base.count() // OWNER_ROWS).bit_length()
     sent = write_table(base.select("uid", "fp").mapInArrow(_send(owner_bits), SENT), "exact-sent")
-    bitmaps = sent.select("owner", "sender", "n", "k", "quotients", "remainders").groupBy("owner").applyInPandas(_answer, "owner int, sender long, bitmap binary")
+    bitmaps = sent.select("owner", "sender", "n", "k", "quotients", "remainders").groupBy("owner").applyInArrow(_answer, "owner int, sender long, bitmap binary")
     marked = sent.select("owner", "sender", "n", "again", "counts", "uids").join(bitmaps, ["owner", "sender"]).mapInArrow(_suspects, "uid long")
     suspects = write_table(base.join(marked, "uid").select("uid", "id", "sha"), "exact-suspects")
     drop_table(sent)

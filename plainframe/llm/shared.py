@@ -23,11 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def write_table(df: DataFrame, name: str, even: bool = True) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    even: first rebalance rows of small results into few files of Spark's advisory size, rather than
+    a small file for each task.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plainframe-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if even else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plainframe_path = path
     return out
@@ -54,9 +58,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Rows that Spark reads and hands to Python at a time. Its defaults, 4096 and 10000, are for short rows: as many long texts make arrays of tens of MB.
+ROWS_AT_A_TIME = {"spark.sql.parquet.columnarReaderBatchSize": "256", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors' Python workers, once for each application."""
+    """Ready a session for these operators: batches for long texts, and, once for each application, this package's code on the executors."""
     context = spark.sparkContext
+    for key, rows in ROWS_AT_A_TIME.items():
+        spark.conf.set(key, rows)
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
