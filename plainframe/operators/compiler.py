@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.expressions import Env, aggregate, compile, window
 from ..plans import nodes as N
 from ..plans.checker import Checked, aggregates, children, is_role
+from .global_windows import SPREADABLE, spread, worth_it
 from .ordering import Key, one_way
 
 _counter = itertools.count()
@@ -131,7 +132,13 @@ def _add(frame: Frame, s: N.Add, table) -> Frame:
         frame = replace(frame, df=df)
         held = {c: F.col(names[c]) for c in calls}
     arg = lambda x: compile(x, Env(frame.col))
-    env = Env(frame.col, lambda c: held[c], lambda c: window(c, arg, [F.col(b) for b in by], frame.order))
+    for c in dict.fromkeys(x for v in values for x in N.walk(v) if is_role(x, "window") and x.name in SPREADABLE):
+        keys = [Key(frame.names[c.args[0].name], c.descending)] if c.name == "rank" else frame.order
+        if not by and frame.stable and worth_it(frame.df, keys):
+            name = fresh()
+            frame = replace(frame, df=spread(frame.df, c.name, arg(c.args[0]) if c.name == "running_total" else None, keys, name))
+            held[c] = F.col(name)
+    env = Env(frame.col, lambda c: held[c], lambda c: held[c] if c in held else window(c, arg, [F.col(b) for b in by], frame.order))
     new = {v.name: fresh() for v in s.values}
     made = {new[v.name]: compile(v.value, env) for v in s.values}
     return frame.select(made, {n: new.get(n, c) for n, c in frame.names.items()} | {n: c for n, c in new.items() if n not in frame.names})

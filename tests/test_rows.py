@@ -128,3 +128,17 @@ def test_grouped_take_limits_before_the_shuffle(t):
 def test_catalog_table(spark, t):
     t["sales"].createOrReplaceTempView("in_catalog")
     assert run("in_catalog then summarize [n] as row_count()").collect()[0].n == 6
+
+
+@pytest.mark.parametrize("keys", ["[k] descending, [id]", "[k], [id] missing first", "[d], [id]"])
+def test_windows_over_the_whole_table_in_parts(spark, monkeypatch, keys):
+    from plainframe.operators import global_windows
+
+    k = F.when(F.col("id") % 11 != 0, F.col("id") * 7 % 90)
+    df = spark.range(500).select("id", k.alias("k"), F.date_add(F.lit("2026-01-01"), (F.col("id") % 40).cast("int")).alias("d"), F.when(F.col("id") % 5 != 0, F.col("id")).alias("v")).repartition(6)
+    sentence = f"x then sort {keys} then add [n] as row_number(), [t] as running_total([v]), [r] as rank([k] descending), [s] as rank([d]) then sort [id]"
+    plain = rows(sentence, {"x": df})
+    monkeypatch.setattr(global_windows, "LEAST_BYTES", 0)
+    out = run(sentence, x=df)
+    assert [tuple(r) for r in out.collect()] == plain
+    assert out.dtypes == run("x then sort [id] then take 1", x=out).dtypes
