@@ -15,8 +15,9 @@ from the capacity and GROUPS, not from the data, so it is broadcast. Pieces find
 their rank among pieces of one length. Ranks are counted in salted parts (SALTS a length), whose
 offsets are sums over the parts' counts, so that a length that a third of all pieces share is spread.
 
-A word's ids do not depend on its neighbours across ASCII white space, so distinct words of a slice
-are encoded once, through a cache in each worker, and texts are put together from them.
+A word's ids do not depend on its neighbours across ASCII white space, nor those of its letters on
+the marks behind them. Such units are encoded once, through a cache in each worker, and texts are
+put together from them.
 
 Cases: a null or empty text is its end token alone; repeated rows and null ids give pieces each;
 other columns are never read; an empty table gives an empty result.
@@ -24,11 +25,14 @@ other columns are never read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import array
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import partitions, write_table
@@ -38,49 +42,76 @@ CAPACITY, END = 2048, 0
 #: Groups of large lengths, and the share of the capacity over which a length is large.
 GROUPS, LARGE = 512, 4
 SALTS = 64
-SLICE_BYTES, CACHE_WORDS = 6_000_000, 300_000
+SLICE_BYTES, CACHE_WORDS, CACHE_UNITS = 6_000_000, 1_200_000, 700_000
+#: A word of plain letters, then marks: the tokenizer lower-cases it and cuts it between the two, so both parts have ids of their own.
+PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?|*&%#$]*)").fullmatch
 
 _worker: dict = {}
 
 
-def _ids(path: str, distinct: list[str]) -> list[bytes]:
-    """The ids of each word, packed."""
-    if _worker.get("path") != path:
+class _Vocabulary:
+    """Ids of the units seen so far, in one growing buffer, and each unit's place in it."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-        _worker.update(path=path, model=model, cache={})
-    cache = _worker["cache"]
-    misses = [x for x in distinct if x not in cache]
-    if misses:
-        if len(cache) + len(misses) > CACHE_WORDS:
-            cache = _worker["cache"] = {x: cache[x] for x in distinct if x in cache}
-        for k in range(0, len(misses), 20_000):
-            part = misses[k : k + 20_000]
-            for x, e in zip(part, _worker["model"].encode_batch_fast(part, add_special_tokens=False)):
-                cache[x] = np.array(e.ids, np.uint32).tobytes()
-    return [cache[x] for x in distinct]
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {"": 0}
+        self.ids, self.starts = array.array("I", [END]), array.array("q", [0, 0, 1])  # unit 0 is empty, unit 1 the end token
+        self.words, self.units = pa.array([], pa.string()), np.empty((0, 2), np.int32)
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """The places of the two units of words that are new."""
+        units = [(m[1].lower(), m[2]) if (m := PLAIN(x)) else (x, "") for x in words]
+        fresh = sorted({u for pair in units for u in pair if u not in self.place})
+        for k in range(0, len(fresh), 20_000):
+            part = fresh[k : k + 20_000]
+            for x, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
+                self.place[x] = len(self.starts) - 1
+                self.ids.extend(e.ids)
+                self.starts.append(len(self.ids))
+        get = self.place.__getitem__
+        return np.array([(get(a), get(b)) for a, b in units], np.int32).reshape(-1, 2)
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """The places of each word's two units."""
+        if len(self.words) + len(distinct) > CACHE_WORDS or len(self.place) + len(distinct) > CACHE_UNITS:
+            self.clear()
+        at = pc.index_in(distinct, value_set=self.words)
+        new = distinct.filter(pc.is_null(at))
+        if len(new):
+            self.units = np.concatenate((self.units, self.learn(new.to_pylist())))
+            self.words = pa.concat_arrays([self.words, new])
+            place = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
+            at = pc.fill_null(at, 0).to_numpy().copy()
+            at[place] = len(self.words) - len(new) + np.arange(len(new))
+        else:
+            at = at.to_numpy()
+        return self.units[at]
 
 
 def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of all texts, each text with the end token, and the ends of the texts."""
+    if _worker.get("path") != path:
+        _worker.update(path=path, vocabulary=_Vocabulary(path))
+    known: _Vocabulary = _worker["vocabulary"]
     counts, codes, distinct = words(texts)
-    packed = _ids(path, distinct.to_pylist())
-    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-    flat = np.frombuffer(b"".join(packed) + np.array([END], np.uint32).tobytes(), np.uint32)
-    starts = np.cumsum(sizes) - sizes
-    # Every text's words, then its end token as one more word.
-    ends = np.cumsum(counts + 1)
-    order = np.full(int(ends[-1]) if len(ends) else 0, len(packed), np.int64)
-    real = np.ones(len(order), bool)
-    real[ends - 1] = False
-    order[real] = codes
-    sizes, starts = np.append(sizes, 1), np.append(starts, len(flat) - 1)
-    n = sizes[order]
+    units = known.places(distinct)
+    flat, starts = np.array(known.ids, np.uint32), np.array(known.starts, np.int64)
+    # Two units for every word of a text, then its end token.
+    ends = np.cumsum(2 * counts + 1)
+    order = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    of_words = np.ones(len(order), bool)
+    of_words[ends - 1] = False
+    order[of_words] = units[codes].reshape(-1)
+    n = starts[order + 1] - starts[order]
     total = np.cumsum(n)
-    at = np.repeat((starts[order] - (total - n)).astype(np.int64), n)
+    at = np.repeat(starts[order] - (total - n), n)
     at += np.arange(len(at))
     return flat[at], total[ends - 1] if len(ends) else total
 
@@ -245,7 +276,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    pieces = write_table(rows.mapInArrow(_pieces(tokenizer, capacity, with_ids), f"id {kind}, {PIECES}"), "pieces")
+    pieces = write_table(rows.mapInArrow(_pieces(tokenizer, capacity, with_ids), f"id {kind}, {PIECES}"), "pieces", even=False)
     salt = F.pmod(F.xxhash64("id", "piece"), F.lit(max(SALTS, partitions(spark)))).alias("salt")
     counts = pieces.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # bounded by the capacity
