@@ -7,16 +7,16 @@ from collections.abc import Mapping
 from typing import Any
 
 from .api import checked, find_tables
-from .plans import ladder, sql
+from .plans import dplyr_code, ladder, pandas_code, polars_code, pyspark_code, sql
 from .plans.checker import Checked, check
 from .plans.diagnostics import PlainError, hint
 from .plans.parser import parse
-from .plans.pyspark_code import code
 from .plans.render import text as canonical
 from .plans.schema import DATE, NUMBER, TEXT, TIMESTAMP, TRUTH, UNKNOWN, Schema
 from .verbs import Pipeline
 
-TARGETS = ("text", "sql", "spark", "pyspark")
+PRINTERS = {"pyspark": pyspark_code.code, "pandas": pandas_code.code, "polars": polars_code.code, "dplyr": dplyr_code.code}
+TARGETS = ("text", *sql.DIALECTS, *PRINTERS)
 # Spellings of kinds that a schema may be described with.
 SPELLINGS = {
     **dict.fromkeys(("number", "numeric", "double", "integer", "int", "float", "bigint", "decimal"), NUMBER),
@@ -32,8 +32,8 @@ def write_as(plan: Checked, target: str) -> str:
         return canonical(plan.plan)
     if target in sql.DIALECTS:
         return sql.sql(plan, target)
-    if target == "pyspark":
-        return code(plan)
+    if target in PRINTERS:
+        return PRINTERS[target](plan)
     raise PlainError(f"there is no target `{target}`.{hint(target, TARGETS)} Targets are {', '.join(TARGETS)}")
 
 
@@ -49,7 +49,7 @@ def _scope() -> dict[str, Any]:
 
 
 def show_as(pipeline: Pipeline | str, target: str, **tables: Any) -> str:
-    """The pipeline in another spelling: text, sql (DuckDB), spark (Spark SQL) or pyspark."""
+    """The pipeline in another spelling: text, sql (DuckDB), spark (Spark SQL), pyspark, pandas, polars or dplyr."""
     if target not in TARGETS:
         write_as(None, target)
     text, found = _plan(pipeline, tables, _scope())
