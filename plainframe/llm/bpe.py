@@ -27,8 +27,8 @@ from .text import slices
 
 #: Longest word, in bytes, that the recursive query takes.
 LONG_BYTES = 256
-#: Words a query takes at a time, and words a worker's cache holds before it is emptied.
-QUERY_WORDS, CACHE_WORDS = 50_000, 400_000
+#: Words a query takes at a time, and words a worker's cache holds beside those of the slice, and text bytes of a slice.
+QUERY_WORDS, CACHE_WORDS, SLICE_BYTES = 50_000, 500_000, 12_000_000
 
 CONTRACT = """
 WITH RECURSIVE state AS (
@@ -115,8 +115,6 @@ class Codec:
         return [x for x in tok if x >= 0]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
         short = []
         for word in words:
             raw = word.encode()
@@ -137,8 +135,7 @@ class Codec:
         needed = set().union(*split)
         fresh = {x for x in needed if x not in self.cache}
         if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache.clear()
-            fresh = needed
+            self.cache = {x: self.cache[x] for x in needed if x in self.cache}  # what this slice shares with those before is frequent
         if fresh:
             self.learn(fresh)
         get = self.cache.__getitem__
@@ -157,7 +154,7 @@ def codec(path: str, pattern: str) -> Codec:
 def _run(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids = tool.encode([x or "" for x in batch.column("text").to_pylist()])
             back = tool.decode(ids)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["id", "ids", "decoded"])
