@@ -142,3 +142,39 @@ def test_windows_over_the_whole_table_in_parts(spark, monkeypatch, keys):
     out = run(sentence, x=df)
     assert [tuple(r) for r in out.collect()] == plain
     assert out.dtypes == run("x then sort [id] then take 1", x=out).dtypes
+
+
+def test_example_tables_are_found_above(spark, tmp_path):
+    from plainframe import example_table
+
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "codes.csv").write_text("code,n,on\n007,1,2026-01-02\nNA,NA,NA\n")
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    df = example_table("codes", text=["code"], start=tmp_path / "a" / "b", spark=spark)
+    assert [tuple(r) for r in df.select("code", "n").collect()] == [("007", 1), (None, None)]
+    with pytest.raises(PlainError, match="no data/none.csv"):
+        example_table("none", start=tmp_path)
+
+
+def test_arrow_tables(spark):
+    pa = pytest.importorskip("pyarrow")
+    assert rows("x then summarize [n] as total([v])", {"x": pa.table({"v": [1, 2, None]})}) == [(3,)]
+
+
+def test_tables_of_the_callers_scope(spark):
+    numbers = spark.range(5)
+    assert run("numbers then summarize [n] as row_count()").collect()[0].n == numbers.count()
+
+
+def test_catalog_names_in_parts(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS parts_of_names")
+    spark.sql("CREATE OR REPLACE TEMP VIEW one_part AS SELECT 1 AS a")
+    with pytest.raises(PlainError, match="there is no table `parts_of_names.nothing`"):
+        run("parts_of_names.nothing then take 1")
+    spark.sql("DROP DATABASE parts_of_names")
+
+
+def test_add_over_rows_taken_without_an_order_reads_them_once(spark):
+    df = spark.range(1000).repartition(7)
+    out = rows("x then take 10 then add [t] as total([id]), [n] as row_count()", {"x": df})
+    assert len(out) == 10 and {r[2] for r in out} == {10} and {r[1] for r in out} == {sum(r[0] for r in out)}
