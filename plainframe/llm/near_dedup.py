@@ -8,10 +8,13 @@ BANDS bands of ROWS bins name buckets. Sets of Jaccard 0.8 share no bucket with
 (1 - 0.8^6)^42, about 3 in a million, and other pairs are confirmed or refused on their full sets.
 
 Within a bucket, edges go from one centre, its smallest class, to the others: as many as the bucket
-has members. Confirmed edges make components. A bucket whose members are all in one component is
+has members. Confirmed edges make components. The buckets of FIRST_BANDS bands come first, since copies
+share most of their buckets, then all buckets. A bucket whose members are all in one component is
 done, since more edges could not change anything. In the others the next centre is taken, against
-members of other components; when few such pairs are left (EXHAUST a class), all of them are tried.
-So no link between candidates is lost, and no group's pairs are all emitted to find that it is one.
+members of other components; when few such pairs are left (EXHAUST a member), all of them are compared
+inside one join by sketches, BITS bits of each bin, and those whose estimate is less than DEVIATIONS
+standard deviations below the threshold (a chance of some 3 in 10 million to lose one), and by
+bitmaps that bound their intersection. Those that pass are confirmed or refused like all others. So no group's pairs are all emitted to find that it is one component.
 
 Cases: a text without words has an empty set, and is linked with nothing; one of fewer words than a
 shingle is one shingle as a whole. Null ids come after all others. Rows that share id and text are
@@ -20,21 +23,28 @@ copies of which one is kept. Other columns are never read. An empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import drop_table, write_table
 from .text import M1, hashes, mix, slices, windows, words
 
 #: Bins of a signature (a power of two), bins in a band, bands.
 BINS, ROWS, BANDS = 256, 6, 42
-#: Pairs left, for each class, that are tried at once instead of by further centres.
-EXHAUST = 2
+#: Bands whose buckets give the first edges; the others only see classes that these left apart.
+FIRST_BANDS = 6
+#: Pairs left, for each member of a bucket, that are compared at once instead of by further centres.
+EXHAUST = 50
+#: Bits of each bin in a sketch, and standard deviations of its estimate by which a pair may look less similar than it must be.
+BITS, DEVIATIONS = 4, 5
+#: Bits of the bitmap of a set's hashes that bounds intersections (a power of two).
+MARKS = 2048
 #: Fixed probe sequences of the densification: for each bin an order of all bins.
 PROBES = np.argsort(np.random.default_rng(20).random((BINS, BINS)), axis=1).T.copy()
 SHIFT = np.uint64(64 - BINS.bit_length() + 1)
@@ -87,17 +97,48 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return h
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """The lowest BITS bits of each bin, bit plane by bit plane, as 64-bit words."""
+    planes = [np.packbits(((sig >> np.uint64(j)) & np.uint64(1)).astype(np.uint8), axis=1) for j in range(BITS)]
+    return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
+
+
+def looks_alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether sketches differ in no more bins than those of sets at the threshold may."""
+    words = BINS // 64
+    differ = F.lit(0)
+    for w in range(words):
+        any_plane = F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w)))
+        for j in range(1, BITS):
+            any_plane = any_plane.bitwiseOR(F.get(a, F.lit(j * words + w)).bitwiseXOR(F.get(b, F.lit(j * words + w))))
+        differ = differ + F.bit_count(any_plane)
+    mean = BINS * (1 - percent / 100) * (1 - 0.5**BITS)
+    return differ <= mean + DEVIATIONS * math.sqrt(mean * (1 - mean / BINS))
+
+
+def may_link(n: Column, m: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether two sets of n and m members can reach the threshold, by bitmaps of their hashes.
+
+    A bit that only one set has stands for a member at least that the other lacks, so this never
+    refuses a pair that links.
+    """
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
+    inter = F.least(n - only(a, b), m - only(b, a))
+    return 100 * inter >= percent * (n + m - inter)
+
+
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), k)
             full = [i for i, x in enumerate(sets) if len(x)]
-            keys = bands(signatures([sets[i] for i in full])).view(np.int64) if full else np.empty((0, BANDS), np.int64)
+            sig = signatures([sets[i] for i in full])
+            keys, marks = bands(sig).view(np.int64), sketches(sig)
             sizes = np.array([len(x) for x in sets], np.int64)
-            offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))).astype(np.int32)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(sizes > 0, x.shape[1], 0)))).astype(np.int32)), pa.array(x.reshape(-1)))
             digest = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-            arrays = [*(batch.column(c) for c in ("uid", "id", "print")), pa.array(sizes), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))]
-            yield pa.RecordBatch.from_arrays(arrays, ["uid", "id", "print", "n", "digest", "bands"])
+            arrays = [*(batch.column(c) for c in ("uid", "id", "print")), pa.array(sizes), pa.array(digest, pa.binary()), lists(keys), lists(marks)]
+            yield pa.RecordBatch.from_arrays(arrays, ["uid", "id", "print", "n", "digest", "bands", "sketch"])
 
     return run
 
@@ -107,7 +148,11 @@ def _sets(k: int):
         for batch in slices(batches, "text"):
             sets = [x.view(np.int64) for x in shingle_sets(batch.column("text"), k)]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["cid", "members"])
+            marks = np.zeros((len(sets), MARKS), np.uint8)
+            for i, x in enumerate(sets):
+                marks[i, x & (MARKS - 1)] = 1
+            marks = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(marks, axis=1).reshape(-1).view(np.int64)), MARKS // 64).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets))), marks], ["cid", "members", "marks"])
 
     return run
 
@@ -135,21 +180,21 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     """One row per row: id, n_shingles, component_id (smallest id reachable), kept, print (xxhash64 of the text)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"))
     kind = dict(rows.dtypes)["id"]
-    signed = rows.select(F.monotonically_increasing_id().alias("uid"), "*").mapInArrow(_sign(shingle), f"uid long, id {kind}, print long, n long, digest binary, bands array<long>")
-    signed = write_table(signed, "near-signed")
+    signed = rows.select(F.monotonically_increasing_id().alias("uid"), "*").mapInArrow(_sign(shingle), f"uid long, id {kind}, print long, n long, digest binary, bands array<long>, sketch array<long>")
+    signed = write_table(signed, "near-signed", even=False)
     order = F.struct(F.col("id").isNull().alias("last"), "id", "uid")
     # One row for a class: copies meet in partial minima before the shuffle.
     classes = signed.filter("n > 0").groupBy("digest").agg(F.min(order).alias("best")).select("digest", "best", F.col("best.uid").alias("cid"))
     classes = write_table(classes, "near-classes")
     keyed = signed.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi")
-    keys = keyed.select(F.col("uid").alias("cid"), "n", F.explode("bands").alias("key"))
+    keys = keyed.select(F.col("uid").alias("cid"), "n", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    members = write_table(keys.join(shared, "key").select("key", "cid", "n"), "near-members")
+    members = write_table(keys.join(shared, "key").select("key", "band", "cid", "n"), "near-members")
 
     # The full sets of the classes that share a bucket, from the texts of one row each.
     needed = signed.join(members.select(F.col("cid").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("cid"), F.col("id").alias("id_"), F.col("print").alias("print_"))
     texts = rows.join(needed, (F.col("print") == F.col("print_")) & F.col("id").eqNullSafe(F.col("id_"))).select("cid", "text")
-    sets = write_table(texts.mapInArrow(_sets(shingle), "cid long, members array<long>"), "near-sets")
+    sets = write_table(texts.mapInArrow(_sets(shingle), "cid long, members array<long>, marks array<long>"), "near-sets", even=False)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         of = lambda c: sets.select(F.col("cid").alias(c), F.col("members").alias(f"set_{c}"))
@@ -158,30 +203,55 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         return both.filter(100 * F.col("inter") >= percent * (F.col("sum") - F.col("inter"))).select("a", "b").distinct()
 
     near_size = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    open_ = members.select("key", "cid", "n", F.col("cid").alias("label"), F.lit(-1).cast("long").alias("last"))
+    def apart(open_: DataFrame) -> DataFrame:
+        """Members with the labels known by now, of buckets that hold several."""
+        known = labels.select(F.col("node").alias("cid"), F.col("label").alias("new"))
+        labelled = open_.join(known, "cid", "left").select("key", "cid", "n", F.coalesce("new", "cid").alias("label"))
+        undone = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        return write_table(labelled.join(undone, "key", "left_semi"), "near-open")
+
+    def starred(open_: DataFrame) -> DataFrame:
+        """Members of other components than their bucket's centre, which is its smallest member."""
+        centre = open_.groupBy("key").agg(F.min(F.struct("cid", "n", "label")).alias("c"))
+        return open_.join(centre, "key").filter((F.col("cid") > F.col("c.cid")))
+
+    def star_pairs(stars: DataFrame) -> DataFrame:
+        near = (F.col("label") != F.col("c.label")) & near_size(F.col("n"), F.col("c.n"))
+        return stars.filter(near).select(F.col("c.cid").alias("a"), F.col("cid").alias("b"))
+
+    def all_pairs(open_: DataFrame) -> DataFrame:
+        """Pairs of different components that look alike, each from one of the buckets that it shares."""
+        marked = signed.select(F.col("uid").alias("cid"), "bands", "sketch").join(sets.select("cid", "marks"), "cid").join(open_.select("cid").distinct(), "cid", "left_semi")
+        b = open_.join(marked, "cid")
+        a = b.select("key", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "label", "bands", "sketch", "marks")))
+        apart_ = (F.col("label") != F.col("label_a")) & (F.col("cid") > F.col("cid_a")) & near_size(F.col("n"), F.col("n_a"))
+        once = F.array_min(F.array_intersect("bands", "bands_a")) == F.col("key")
+        alike = looks_alike(F.col("sketch"), F.col("sketch_a"), percent) & may_link(F.col("n"), F.col("n_a"), F.col("marks"), F.col("marks_a"), percent)
+        return b.join(a, "key").filter(apart_ & alike & once).select(F.col("cid_a").alias("a"), F.col("cid").alias("b"))
+
     links = labels = None
-    many = EXHAUST * classes.count() + 1000
+    many = EXHAUST * members.count() + 1000
+    open_ = members.filter(F.col("band") < FIRST_BANDS).select("key", "cid", "n", F.col("cid").alias("label"))
+    first = True
     while True:
-        centre = open_.filter("cid > last").groupBy("key").agg(F.min(F.struct("cid", "n", "label")).alias("c"), F.count(F.lit(1)).alias("size"))
-        left = centre.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2).alias("pairs")).first().pairs
-        if not left:
+        stars = starred(open_)
+        sides = open_.groupBy("key", "label").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
+        left = (sides.agg(F.sum("pairs").alias("pairs")).first().pairs or 0) / 2
+        last = not first and left <= many
+        if left:
+            new = write_table(confirmed(all_pairs(open_) if last else star_pairs(stars)), "near-links")
+            links = new if links is None else links.union(new)
+            labels = components(links)
+        if first and labels is not None:
+            open_ = apart(members)
+        elif first:
+            open_ = members.select("key", "cid", "n", F.col("cid").alias("label"))
+        elif last:
             break
-        if left <= many:
-            other = open_.select("key", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("label").alias("label_a"))
-            pairs = open_.filter("cid > last").join(other, "key").filter((F.col("cid") > F.col("a")) & (F.col("a") > F.col("last")) & (F.col("label") != F.col("label_a")) & near_size(F.col("n"), F.col("m")))
-            pairs = pairs.select("a", F.col("cid").alias("b"))
         else:
-            starred = open_.join(centre.select("key", "c"), "key")
-            pairs = starred.filter((F.col("cid") > F.col("c.cid")) & (F.col("label") != F.col("c.label")) & near_size(F.col("n"), F.col("c.n"))).select(F.col("c.cid").alias("a"), F.col("cid").alias("b"))
-        new = write_table(confirmed(pairs), "near-links")
-        links = new if links is None else links.union(new)
-        labels = components(links)
-        if left <= many:
-            break
-        known = labels.select(F.col("node").alias("cid"), F.col("label").alias("new"))
-        moved = starred.drop("label").join(known, "cid", "left").select("key", "cid", "n", F.coalesce("new", "cid").alias("label"), F.col("c.cid").alias("last"))
-        undone = moved.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        open_ = write_table(moved.join(undone, "key", "left_semi"), "near-open")
+            # A centre was tried against all the others of its bucket, so it leaves.
+            open_ = apart(stars.select("key", "cid", "n"))
+        first = False
 
     if labels is None:
         best = classes.select("digest", "best")
@@ -205,8 +275,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     key = lambda c: [F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))]
     kept = kept.select(key(id_col)[0].alias("_pf_null"), key(id_col)[1].alias("_pf_id"), F.col("print").alias("_pf_print")).distinct()
     keyed = docs.withColumns({"_pf_null": key(id_col)[0], "_pf_id": key(id_col)[1], "_pf_print": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    from pyspark.sql import Window
-
     # Rows that share id and text are copies of which one stays; texts without words are no copies of each other.
     same = Window.partitionBy("_pf_null", "_pf_id", "_pf_print").orderBy(F.lit(1))
     out = keyed.join(kept, ["_pf_null", "_pf_id", "_pf_print"], "left_semi").withColumn("_pf_k", F.row_number().over(same))
