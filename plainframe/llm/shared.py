@@ -10,6 +10,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Once a step's result stands in a table, its shuffle files are of no more use; else they stay until the driver happens to collect garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +33,12 @@ def write_table(df: DataFrame, name: str, even: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plainframe-{name}-{uuid.uuid4().hex}"
-    (df.hint("rebalance") if even else df).write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        (df.hint("rebalance") if even else df).write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._plainframe_path = path
     return out
@@ -65,8 +72,8 @@ ROWS_AT_A_TIME = {"spark.sql.parquet.columnarReaderBatchSize": "256", "spark.sql
 def ship(spark: SparkSession) -> None:
     """Ready a session for these operators: batches for long texts, and, once for each application, this package's code on the executors."""
     context = spark.sparkContext
-    for key, rows in ROWS_AT_A_TIME.items():
-        spark.conf.set(key, rows)
+    for key, value in ROWS_AT_A_TIME.items():
+        spark.conf.set(key, value)
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)

@@ -24,7 +24,6 @@ rows give a row each. Other columns are never read. An empty table gives an empt
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ from .text import hashes, slices, windows, words
 
 WINDOW = 13
 #: Batches that a whole table is taken in, runs kept before they are merged, windows an owner gets of a batch at most, text bytes of a sender's slice.
-BATCHES, RUNS, OWNER_WINDOWS, SEND_BYTES = 3, 1, 4_000_000, 12_000_000
+BATCHES, RUNS, OWNER_WINDOWS, SEND_BYTES = 2, 4, 2_000_000, 6_000_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -98,7 +97,7 @@ def _send(owner_bits: int, k: int):
     def docs_of(doc: np.ndarray, place: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
         used, at = np.unique(doc, return_inverse=True)
         low = ids[used]
-        return planes(at.astype(np.uint32)), planes(place.astype(np.uint32)), low.tobytes(), (prints[used] & 0xFFFFFFFF).astype(np.uint32).tobytes()
+        return planes(at.astype(np.uint32)), planes(place.astype(np.uint32)), low[:1].tobytes() + planes(np.diff(low, prepend=low[:1]).astype(np.uint64)), planes(prints[used].astype(np.uint32))
 
     names = ["owner", "hashes", "checks", "docs", "places", "ids", "prints", "settled"]
     kinds = [pa.int32(), *[pa.binary()] * 6, pa.bool_()]
@@ -108,44 +107,55 @@ def _send(owner_bits: int, k: int):
             out = list(rows(batch))
             if out:
                 # Settled rows go to any owner, spread by their first id.
-                out = [(int(np.frombuffer(x[5], np.int64)[0] % (1 << owner_bits)), *x[1:]) if x[-1] else x for x in out]
+                out = [(int(np.frombuffer(x[5][:8], np.int64)[0] % (1 << owner_bits)), *x[1:]) if x[-1] else x for x in out]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     return run
 
 
-ANSWER = "kind int, owner int, id long, print long, data binary, checks binary"
+#: Buckets of documents that owners address their answers to, and places that a bucket gets at most.
+BUCKETS, BUCKET_PLACES = 64, 20_000_000
+#: An answer (kind 0, place: a bucket) or a part of a run (kind 1, place: an owner).
+ANSWER = "kind int, place int, ids binary, prints binary, counts binary, data binary, checks binary"
 RUN = "owner int, data binary, checks binary"
+_NAMES = ["kind", "place", "ids", "prints", "counts", "data", "checks"]
+_KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+
+
+def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
+
+
+def _answer(ids: np.ndarray, prints: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int) -> list[tuple]:
+    """Repeated places, a packed row for each bucket of documents."""
+    bucket = ids[doc] % buckets
+    order = np.lexsort((place, doc, bucket))
+    bucket, doc, place = bucket[order], doc[order], place[order]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(doc)]))
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        starts = np.flatnonzero(np.concatenate(([True], doc[a + 1 : b] != doc[a : b - 1])))
+        of = doc[a:b][starts]
+        counts = np.diff(np.append(starts, b - a)).astype(np.uint32)
+        out.append((0, int(bucket[a]), ids[of].tobytes(), planes(prints[of].astype(np.uint32)), planes(counts), planes(place[a:b].astype(np.uint32)), None))
+    return out
 
 
-def _answer(ids: np.ndarray, prints: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[tuple]:
-    """Repeated places, a row for each document."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]))
-    return [(0, -1, int(ids[doc[a]]), int(prints[doc[a]]), planes(place[a:b].astype(np.uint32)), None) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
-
-
-def _own(keep_run: bool):
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    names = ["kind", "owner", "id", "print", "data", "checks"]
-
-    def table(rows: list[tuple]) -> pa.Table:
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
-
+def _own(keep_run: bool, buckets: int):
     def run(sent: pa.Table, runs: pa.Table) -> pa.Table:
         out, h, check, doc, place, ids, prints, base = [], [], [], [], [], [], [], 0
         owner = None
         for row in (r for b in sent.to_batches(max_chunksize=64) for r in b.to_pylist()):
             owner = row["owner"]
             d, p = from_planes(row["docs"], np.uint32), from_planes(row["places"], np.uint32)
-            i, q = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["prints"], np.uint32)
+            i = np.frombuffer(row["ids"][:8], np.int64) + np.cumsum(from_planes(row["ids"][8:]).astype(np.int64))
+            q = from_planes(row["prints"], np.uint32)
             if row["settled"]:
-                out += _answer(i, q, d, p)
+                out += _answer(i, q, d, p, buckets)
                 continue
             h.append(unpack(row["hashes"]))
             check.append(np.frombuffer(row["checks"], np.uint16))
-            doc.append(d.astype(np.int64) + base)
+            doc.append(d + np.uint32(base))
             place.append(p)
             ids.append(i)
             prints.append(q)
@@ -162,15 +172,33 @@ def _own(keep_run: bool):
             lowest = np.repeat(np.minimum.reduceat(who, starts), np.diff(np.append(starts, len(h))))
             repeated = held | (who > lowest)
             if repeated.any():
-                out += _answer(ids, prints, doc[repeated], place[repeated])
+                out += _answer(ids, prints, doc[repeated], place[repeated], buckets)
             fresh = starts[~held[starts]]
             if keep_run and len(fresh):
-                out.append((1, owner, None, None, pack(h[fresh]), check[fresh].tobytes()))
-        return table(out)
+                out.append((1, owner, None, None, None, pack(h[fresh]), check[fresh].tobytes()))
+        return _table(out, _NAMES, _KINDS)
 
     return run
 
 
+def _gather(part: pa.Table) -> pa.Table:
+    """A bucket's answers from all owners: a row for each document, with its places in order."""
+    ids, prints, counts, place = [], [], [], []
+    for row in part.to_pylist():
+        ids.append(np.frombuffer(row["ids"], np.int64))
+        prints.append(from_planes(row["prints"], np.uint32))
+        counts.append(from_planes(row["counts"], np.uint32))
+        place.append(from_planes(row["data"], np.uint32))
+    ids, prints, counts, place = map(np.concatenate, (ids, prints, counts, place))
+    doc = np.repeat(np.arange(len(ids)), counts)
+    order = np.lexsort((place, prints[doc], ids[doc]))
+    doc, place = doc[order], place[order]
+    who, print_ = ids[doc], prints[doc]
+    cuts = np.concatenate(([0], np.flatnonzero((np.diff(who) != 0) | (np.diff(print_) != 0)) + 1, [len(doc)]))
+    rows = [(int(who[a]), int(print_[a]), planes(place[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+    return _table(rows, ["id", "print", "data"], [pa.int64(), pa.int64(), pa.binary()])
+
+
 def holds(run: np.ndarray, run_check: np.ndarray, h: np.ndarray, check: np.ndarray) -> np.ndarray:
     """Which (hash, second hash) pairs a sorted run holds: a merge join by binary search."""
     out, at = np.zeros(len(h), bool), np.searchsorted(run, h)
@@ -194,34 +222,32 @@ def _merge(part: pa.Table) -> pa.Table:
     return pa.table({"owner": pa.array([part.column("owner")[0].as_py()], pa.int32()), "data": pa.array([pack(h[new])], pa.binary()), "checks": pa.array([check[new].tobytes()], pa.binary())})
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished batches now rather than when the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class FingerprintIndex:
     """Window hashes of all batches so far, as runs in the shared folder."""
 
-    def __init__(self, spark: SparkSession, owner_bits: int, window: int = WINDOW):
-        self.spark, self.owner_bits, self.window = spark, owner_bits, window
+    def __init__(self, spark: SparkSession, owner_bits: int, window: int = WINDOW, buckets: int = BUCKETS):
+        self.spark, self.owner_bits, self.window, self.buckets = spark, owner_bits, window, buckets
         self.runs: list[DataFrame] = []
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """id, print, data (packed places of repeated windows) of a batch: columns id, print, text. last: no batch follows, so no run is written."""
+        """Answers (packed places of repeated windows, by bucket) to a batch of columns id, print, text. last: no batch follows, so no run is written."""
         sent = docs.select("id", "print", "text").mapInArrow(_send(self.owner_bits, self.window), SENT)
         held = self.runs[0] if self.runs else self.spark.createDataFrame([], RUN)
         for more in self.runs[1:]:
             held = held.union(more)
-        out = sent.groupBy("owner").cogroup(held.groupBy("owner")).applyInArrow(_own(not last), ANSWER)
-        out = write_table(out, "substring-batch")
+        out = sent.groupBy("owner").cogroup(held.groupBy("owner")).applyInArrow(_own(not last, self.buckets), ANSWER)
+        out = write_table(out, "substring-batch", even=False)
         if not last:
-            run = out.filter("kind = 1").select("owner", "data", "checks")
+            run = out.filter("kind = 1").select(F.col("place").alias("owner"), "data", "checks")
             self.runs.append(run)
             if len(self.runs) > RUNS:
                 self.compact()
-        release(self.spark)
-        return out.filter("kind = 0").select("id", "print", "data")
+        return out.filter("kind = 0").select("place", "ids", "prints", "counts", "data")
+
+    @staticmethod
+    def places(answers: DataFrame) -> DataFrame:
+        """id, print, data (packed places), a row for each document that has any."""
+        return answers.groupBy("place").applyInArrow(_gather, "id long, print long, data binary")
 
     def compact(self) -> None:
         """One run in place of all, sorted and without repetition."""
@@ -238,13 +264,13 @@ def _cut(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             n_words, n_removed, kept = [], [], []
-            for text, answers in zip(batch.column("text").to_pylist(), batch.column("answers").to_pylist()):
+            for text, places in zip(batch.column("text").to_pylist(), batch.column("data").to_pylist()):
                 w = (text or "").encode().split()
                 n_words.append(len(w))
-                if answers:
+                if places:
                     marks = np.zeros(len(w) + 1, np.int32)
-                    starts = np.unique(np.concatenate([from_planes(x, np.uint32) for x in answers]).astype(np.int64))
-                    marks[starts] += 1
+                    starts = from_planes(places, np.uint32).astype(np.int64)
+                    np.add.at(marks, starts, 1)
                     np.add.at(marks, starts + k, -1)
                     stays = np.cumsum(marks)[:-1] == 0
                     w = [x for x, s in zip(w, stays.tolist()) if s]
@@ -258,12 +284,15 @@ def _cut(k: int):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_words, n_removed, kept_text (kept words joined by one space)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("print"))
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("id IS NOT NULL AND n > 1").limit(1).count():
+        # 32 bits of the text's hash tell rows of one id apart.
+        rows = rows.withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF)))
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.percentile_approx(id_col, [k / batches for k in range(1, batches)], 10_000).alias("cuts")).first()
     n_windows = (size.bytes or 0) // 4
     owner_bits = max(partitions(spark) - 1, n_windows // batches // OWNER_WINDOWS).bit_length()
     cuts = sorted(set(size.cuts or []))
-    index = FingerprintIndex(spark, owner_bits, window)
+    index = FingerprintIndex(spark, owner_bits, window, max(BUCKETS, n_windows // BUCKET_PLACES))
     answers = None
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows.filter(F.col("id").isNotNull())
@@ -271,10 +300,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
         part = part.filter(F.col("id") <= high) if high is not None else part
         found = index.add(part, last=high is None)
         answers = found if answers is None else answers.union(found)
-    # 32 bits of the text's hash tell rows of one id apart.
-    low_print = F.col("print").bitwiseAND(F.lit(0xFFFFFFFF))
-    gathered = answers.groupBy(F.col("id").alias("id_"), F.col("print").alias("print_")).agg(F.collect_list("data").alias("answers"))
-    joined = rows.join(gathered, (F.col("id") == F.col("id_")) & (low_print == F.col("print_")), "left").select("id", "text", "answers")
+    gathered = index.places(answers).select(F.col("id").alias("id_"), F.col("print").alias("print_"), "data")
+    joined = rows.join(gathered, (F.col("id") == F.col("id_")) & (F.col("print") == F.col("print_")), "left").select("id", "text", "data")
     return joined.mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
 
