@@ -5,8 +5,9 @@ over a boilerplate ratio are dropped from every page of that host.
 
 Pages send one 16-byte digest per distinct line, summed on the map side; texts stay where they are.
 Lines over the ratio r number at most (mean lines a page) / r on a host, whatever its size, so a
-host's list is small; Spark broadcasts the lists if all of them are within its size limit, and
-otherwise joins on the host, where adaptive execution splits a hot host's pages.
+host's list is small. All lists are counted first: up to BROADCAST_LINES lines they go to every task
+and texts are not shuffled at all; beyond that pages are joined with the lists on the host, where
+adaptive execution splits a hot host's pages.
 
 Cases: lines are compared without spaces, tabs and carriage returns around them; blank lines stay
 and count as no line. A null text counts as empty and comes back null. Pages without a host share
@@ -18,8 +19,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import write_table
+
 #: Share of a host's pages over which a line is boilerplate, and pages a host needs.
 RATIO, MIN_PAGES = 0.05, 20
+#: Lines of all hosts, at 16 bytes each, that are broadcast at most.
+BROADCAST_LINES = 500_000
 
 
 def bare(line: Column) -> Column:
@@ -43,7 +48,9 @@ def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float, min
 
 def line_dedup(docs: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, report: bool = False) -> DataFrame:
     """docs with boilerplate lines gone from their texts; report adds n_lines and n_dropped."""
-    found = boilerplate(docs, host_col, text_col, ratio, min_pages)
+    found = write_table(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
+    if (found.agg(F.sum(F.size("_pf_lines")).alias("n")).first().n or 0) <= BROADCAST_LINES:
+        found = F.broadcast(found)
     joined = docs.join(found, F.col(f"`{host_col}`").eqNullSafe(F.col("_pf_host")), "left")
     text, lines = F.col(f"`{text_col}`"), F.split(F.col(f"`{text_col}`"), "\n")
     dropped = F.filter(lines, lambda x: (bare(x) != "") & F.array_contains(F.col("_pf_lines"), digest(x)))
