@@ -32,6 +32,8 @@ from .text import slices
 
 #: A value that stands in as many owners or repositories is an example.
 WIDE_OWNERS, WIDE_REPOS = 3, 20
+#: Texts with live secrets whose spans are broadcast at most; beyond, texts and spans are joined by id.
+BROADCAST_ROWS = 50_000
 #: Bits of entropy a character that a live-looking value has at least.
 LIVE_BITS = 2.5
 #: The base patterns, in the order in which kinds are listed.
@@ -124,7 +126,9 @@ def redact(docs: DataFrame, owner_col: str, repo_col: str, id_col: str = "doc_id
     keyed = docs.withColumns({"_pf_print": F.xxhash64(text_col), "_pf_null": F.col(id_col).isNull(), "_pf_id": F.coalesce(F.col(id_col).cast("string"), F.lit(""))})
     scan = secret_scan(keyed.select(id_col, owner_col, repo_col, text_col, F.struct("_pf_null", "_pf_id", "_pf_print").alias("_pf_key")), owner_col, repo_col, "_pf_key", text_col)
     live = scan.select("_pf_key.*", F.filter("found", lambda x: x["live"]).alias("_pf_spans")).filter(F.size("_pf_spans") > 0)
-    live = live.dropDuplicates(["_pf_null", "_pf_id", "_pf_print"])
+    live = write_table(live.dropDuplicates(["_pf_null", "_pf_id", "_pf_print"]), "secrets-live")
+    if live.count() <= BROADCAST_ROWS:  # then texts need no shuffle
+        live = F.broadcast(live)
     names, text = F.array(*map(F.lit, KINDS)), F.col(text_col)
 
     def cut(done, x):

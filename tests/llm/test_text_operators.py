@@ -182,7 +182,9 @@ def test_secrets(spark, odd_rows):
     assert {s.split(":")[0] for s in of[209].spans.split(",")} == {"url", "pem"} and "jwt:0:" in of[210].spans and "opaque:7:31" in of[211].spans
 
 
-def test_redaction_takes_live_ones_only(spark, odd_rows):
+@pytest.mark.parametrize("broadcast", [50_000, -1])
+def test_redaction_takes_live_ones_only(spark, odd_rows, monkeypatch, broadcast):
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", broadcast)
     rows = odd_rows + [row(200 + i, t, f"o{i}") for i, t in enumerate(SECRETS)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = secret_scan.redact(df, "source", "doc_id")
