@@ -1,24 +1,27 @@
 """Toxicity by the nearest labelled examples, found by exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are runs of GRAMS bytes inside lower-cased words and their ends, hashed to 2**BUCKET_BITS
-buckets; of these the TERMS with the highest chi-square for the label are the vocabulary, and all
-other words are one further term that grows with the text's length. A text's weights are
-(1 + log count) x idf, normalised to length one.
+Terms are all lower-cased words of the examples, whatever their number, and on top of them runs of
+GRAMS bytes inside words and their ends, hashed to 2**BUCKET_BITS buckets: every run whose
+chi-square for the label is LEAST_CHI or more and that leans to it, so that spellings of one insult
+meet. A text's weights are (1 + log count) x idf, for runs times GRAM_WEIGHT, normalised to length
+one; idf is over all documents, counted in one pass. A word that no example has is shared with none
+and has no weight.
 
 The examples are at most POSITIVE + NEGATIVE labelled rows, those whose id hashes lowest; this
 bounded sample is the fitted classifier, and negatives get the weight that restores their share.
-They lie in the index in blocks of BLOCK, like with like. For each term and block the index has the
-postings and their highest weight. A query's bound for a block is the sum of its weights times
-these; blocks are visited by falling bound until no block can hold a nearer example than the
-NEAREST found, so the neighbours are exact. Of examples equally near, the first in the index count.
+They lie in the index in blocks of BLOCK, like with like. For each term and each block that has it
+the index has the postings and their highest weight. A query's bound for a block is the sum of its
+weights times these; blocks are visited by falling bound until no block can hold a nearer example
+than the NEAREST found, so the neighbours are exact. Of examples equally near, the first in the
+index count.
 
 Neighbours vote by similarity / (1.05 - similarity). Votes become probabilities by isotonic
 regression over the examples' own votes, each without itself. The neighbours are the evidence.
 
 Scoring is one map over the scan, with no shuffle; the index is broadcast and its size bounded by
-the parameters alone. Texts of equal weights are looked up once in a slice.
+the sample's rows. Texts of equal weights are looked up once in a slice.
 
-Cases: a null or empty text has no term and scores as the share of the label among examples; without
+Cases: a null or empty text, or one without a known term, scores as the share of the label among examples; without
 examples of both labels every score is that share, 0 without any. Labels that are null are not
 used; a label's id that stands in several rows makes an example of each. Repeated rows and null ids
 give a row each. Other columns are never read. An empty table gives an empty result.
@@ -28,7 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +39,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import drop_table, write_table
-from .text import M2, mix, slices, words
+from .text import M2, hashes, mix, slices, words
 
 #: Labelled rows the classifier is fitted on at most, by label.
 POSITIVE, NEGATIVE = 2_000, 4_000
-#: Bytes of a term, bits of its bucket, terms kept, documents a term needs, and its least chi-square.
-GRAMS, BUCKET_BITS, TERMS, LEAST_DOCS, LEAST_CHI = (4, 5, 6, 7, 8), 20, 160, 4, 24.0
-NEAREST, BLOCK, EVIDENCE = 15, 64, 3
+#: Bytes of a run, bits of its bucket, documents a run needs, its least chi-square, and its weight beside a word's.
+GRAMS, BUCKET_BITS, LEAST_DOCS, LEAST_CHI, GRAM_WEIGHT = (4, 5, 6, 7, 8), 20, 4, 24.0, 2.0
+#: Blocks that are visited first, before the bound of the others counts.
+NEAREST, BLOCK, EVIDENCE, FIRST_BLOCKS = 15, 64, 3, 6
 
 
 def word_grams(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,24 +72,39 @@ def word_grams(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(places), np.concatenate(buckets)) if places else (np.empty(0, np.int64), np.empty(0, np.int32))
 
 
-def term_counts(texts: pa.Array, column: np.ndarray, n_terms: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Words in each text, and each text's terms and their counts. column: a bucket's term or -1."""
+def word_names(distinct: pa.Array) -> np.ndarray:
+    """A name of each distinct word, the same for any case, beyond all buckets."""
+    return (hashes(pc.utf8_lower(distinct)) >> np.uint64(1)).astype(np.int64) | (1 << 62)
+
+
+def expand(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each run, many of them."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
+def term_counts(texts: pa.Array, buckets: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Words in each text, and each text's terms and their counts. buckets: the terms' names, rising: runs, then words."""
     counts, codes, distinct = words(texts)
-    if not len(codes):
+    if not len(codes) or not len(buckets):
         return counts, [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(counts)
-    place, bucket = word_grams(distinct)
+    n_terms = len(buckets)
+    n_grams = int(np.searchsorted(buckets, 1 << 62))
+    column = np.full(1 << BUCKET_BITS, -1, np.int64)
+    column[buckets[:n_grams]] = np.arange(n_grams)
+    place, bucket = word_grams(distinct) if n_grams else (np.empty(0, np.int64), np.empty(0, np.int32))
     term = column[bucket]
     place, term = place[term >= 0], term[term >= 0]
-    pair = np.unique(place * n_terms + term)  # a word has a term or has not
+    names = word_names(distinct)
+    at = np.minimum(np.searchsorted(buckets, names), n_terms - 1)
+    known = np.flatnonzero(buckets[at] == names)
+    pair = np.unique(np.concatenate((place * n_terms + term, known * n_terms + at[known])))  # a word has a term or has not
     place, term = pair // n_terms, pair % n_terms
     starts = np.searchsorted(place, np.arange(len(distinct) + 1))
     many = np.diff(starts)
     doc = np.repeat(np.arange(len(counts)), counts)
     with_terms = many[codes] > 0
     doc, codes = doc[with_terms], codes[with_terms]
-    sizes = many[codes]
-    at = np.repeat(starts[codes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    key, n = np.unique(np.repeat(doc, sizes) * n_terms + term[at], return_counts=True)
+    key, n = np.unique(np.repeat(doc, many[codes]) * n_terms + term[expand(starts[codes], many[codes])], return_counts=True)
     cuts = np.searchsorted(key, np.arange(len(counts) + 1) * n_terms)
     return counts, [(key[a:b] % n_terms, n[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
@@ -100,64 +119,74 @@ class Index:
     weights: np.ndarray
     ids: list
     prior: float
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    starts: np.ndarray | None = None
+    entries: np.ndarray | None = None
+    blocks: np.ndarray | None = None
     highest: np.ndarray | None = None
+    starts: np.ndarray | None = None
+    places: np.ndarray | None = None
+    values: np.ndarray | None = None
     knots: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
-    def column(self) -> np.ndarray:
-        out = np.full(1 << BUCKET_BITS, -1, np.int64)
-        out[self.buckets] = np.arange(len(self.buckets))
-        return out
+    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Examples and weights of each term."""
+        cuts = self.starts[self.entries]
+        return [(self.places[a:z], self.values[a:z]) for a, z in zip(cuts, cuts[1:])]
 
     def vector(self, n_words: int, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights; the last term stands for all other words."""
-        if not n_words:
-            return terms, np.empty(0)
-        weight = np.append((1 + np.log(counts)) * self.idf[terms], math.sqrt(n_words) / 4 if len(terms) else 1.0)
-        return np.append(terms, len(self.buckets)), weight / math.sqrt(float(weight @ weight))
+        """Terms and weights."""
+        if not n_words or not len(terms):
+            return terms[:0], np.empty(0)
+        weight = (1 + np.log(counts)) * self.idf[terms]
+        return terms, weight / math.sqrt(float(weight @ weight))
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        blocks = -(-len(vectors) // BLOCK)
-        n_terms = len(self.buckets) + 1
-        self.starts, self.highest = np.zeros((n_terms, blocks + 1), np.int64), np.zeros((n_terms, blocks))
-        flat_t = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
-        flat_w = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
-        flat_p = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-        for t in range(n_terms):
-            mine = flat_t == t
-            p, w = flat_p[mine], flat_w[mine]
-            self.postings.append((p, w))
-            self.starts[t] = np.searchsorted(p, np.arange(blocks + 1) * BLOCK)
-            np.maximum.at(self.highest[t], p // BLOCK, w)
+        """An entry for each term and block that has it; an entry's postings lie side by side."""
+        term = np.concatenate([t for t, _ in vectors])
+        place = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        order = np.lexsort((place, term))
+        term, self.places, self.values = term[order], place[order], np.concatenate([w for _, w in vectors])[order]
+        block = self.places // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(term) != 0) | (np.diff(block) != 0))))[: len(term)]
+        self.blocks, self.starts = block[first].astype(np.int32), np.append(first, len(term)).astype(np.int32)
+        self.highest = np.maximum.reduceat(self.values, first) if len(first) else np.empty(0)
+        self.entries = np.searchsorted(term[first], np.arange(len(self.buckets) + 1)).astype(np.int32)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
         """The NEAREST examples: similarity and place, the nearest first, the first in the index of equals."""
-        best: list[tuple[float, int]] = []
         if not len(terms):
-            return best
-        bound = weights @ self.highest[terms]
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == NEAREST and bound[b] + 1e-9 < -best[-1][0]:
+            return []
+        many = self.entries[terms + 1] - self.entries[terms]
+        at, w = expand(self.entries[terms], many), np.repeat(weights, many)
+        block = self.blocks[at]
+        bound = np.bincount(block, w * self.highest[at], minlength=-(-len(self.labels) // BLOCK))
+        by_bound = np.argsort(-bound, kind="stable")
+        best_s, best_p = np.empty(0), np.empty(0, np.int64)
+        for part in (by_bound[:FIRST_BLOCKS], by_bound[FIRST_BLOCKS:]):
+            least = best_s[-1] - 1e-9 if len(best_s) == NEAREST else 0.0
+            visit = np.zeros(len(bound), bool)
+            visit[part] = (bound[part] > 0) & (bound[part] + 1e-9 >= least)
+            if not visit.any():
                 break
-            sims = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                a, z = self.starts[t, b], self.starts[t, b + 1]
-                if z > a:
-                    p, v = self.postings[t]
-                    sims[p[a:z] - b * BLOCK] += w * v[a:z]
-            found = np.flatnonzero(sims > 0)
-            if len(best) == NEAREST:
-                found = found[sims[found] + 1e-9 >= -best[-1][0]]
-            new = [(-round(float(sims[i]), 9), int(b) * BLOCK + int(i)) for i in found if b * BLOCK + i != without]
-            best = sorted(best + new)[:NEAREST]
-        return [(-s, p) for s, p in best]
+            mine = visit[block]
+            e = at[mine]
+            n = self.starts[e + 1] - self.starts[e]
+            here = expand(self.starts[e], n)
+            sims = np.bincount(self.places[here], np.repeat(w[mine], n) * self.values[here], minlength=len(self.labels))
+            if without >= 0:
+                sims[without] = 0
+            found = np.flatnonzero(sims > max(least - 2e-9, 0.0))
+            if len(found) > NEAREST:
+                found = found[sims[found] >= np.partition(sims[found], -NEAREST)[-NEAREST] - 2e-9]
+            s, p = np.concatenate((best_s, np.round(sims[found], 9))), np.concatenate((best_p, found))
+            order = np.lexsort((p, -s))[:NEAREST]
+            best_s, best_p = s[order], p[order]
+        return list(zip(best_s.tolist(), best_p.tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         if not near:
             return self.prior
-        s, p = np.array([x for x, _ in near]), np.array([x for _, x in near])
+        s, p = np.minimum([x for x, _ in near], 1.0), np.array([x for _, x in near])
         w = s / (1.05 - s) * self.weights[p]
         return float(w @ self.labels[p] / w.sum())
 
@@ -204,11 +233,32 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen]), pa.array(dp[seen]), pa.array(print_[seen].view(np.int64))], ["bucket", "df", "dp", "docs"])
 
 
-def _vectors(column: np.ndarray, n_terms: int):
+def _names(column: np.ndarray):
+    """Each example's terms by name, and their counts, as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = np.flatnonzero(column)
         for batch in slices(batches, "text"):
-            counts, found = term_counts(batch.column("text"), column, n_terms)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(counts, pa.int64()), pa.array([t.tolist() for t, _ in found], pa.list_(pa.int64())), pa.array([n.tolist() for _, n in found], pa.list_(pa.int64()))], ["id", "label", "n_words", "terms", "counts"])
+            names = np.concatenate((grams, np.unique(word_names(words(batch.column("text"))[2]))))
+            counts, found = term_counts(batch.column("text"), names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(counts, pa.int64()), pa.array([names[t].tobytes() for t, _ in found], pa.binary()), pa.array([n.astype(np.int64).tobytes() for _, n in found], pa.binary())], ["id", "label", "n_words", "terms", "counts"])
+
+    return run
+
+
+def _documents(shared):
+    """Documents that have each term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = shared.value
+        df = np.zeros(len(buckets), np.int64)
+        for batch in slices(batches, "text"):
+            _, found = term_counts(batch.column("text"), buckets)
+            df += np.bincount(np.concatenate([t for t, _ in found]), minlength=len(buckets))
+        seen = np.flatnonzero(df)
+        for i in range(0, len(seen), 10_000):
+            part = seen[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(df[part])], ["term", "df"])
 
     return run
 
@@ -235,21 +285,37 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     cross = a * (n - b) - b * (p - a)
     chi = (p + n) * cross * cross / ((a + b) * (p + n - a - b) * p * n)
     ranked = counts.filter(F.col("df").between(LEAST_DOCS, p + n - 1)).select("bucket", "df", "docs", F.when(cross > 0, chi).otherwise(0.0).alias("chi"))
-    ranked = ranked.filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "bucket").limit(50 * TERMS).collect()
-    kept, seen = [], set()
-    for r in ranked:  # of terms in the very same documents, one
-        if r.docs not in seen and len(kept) < TERMS:
+    ranked = ranked.filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "bucket").collect()  # bounded by the buckets
+    column, seen = np.zeros(1 << BUCKET_BITS, bool), set()
+    for r in ranked:  # of runs in the very same documents, one
+        if r.docs not in seen:
             seen.add(r.docs)
-            kept.append(r)
-    buckets = np.array([r.bucket for r in kept], np.int64)
-    idf = np.array([math.log((p + n + 1) / (r.df + 1)) + 1 for r in kept])
-    index = Index(buckets, idf, np.empty(0), np.empty(0), [], prior)
-    n_terms = len(buckets) + 1
-    got = sample.mapInArrow(_vectors(index.column, n_terms), f"id {dict(sample.dtypes)['id']}, label int, n_words long, terms array<long>, counts array<long>").collect()  # bounded by the sample
+            column[r.bucket] = True
+    got = sample.mapInArrow(_names(column), f"id {dict(sample.dtypes)['id']}, label int, n_words long, terms binary, counts binary").collect()  # bounded by the sample
     drop_table(sample)
-    vectors = [(index.vector(r.n_words, np.array(r.terms, np.int64), np.array(r.counts, np.int64)), r) for r in got]
-    # Like with like: by the heaviest term, then its weight.
-    vectors.sort(key=lambda x: ((int(x[0][0][x[0][1].argmax()]), -float(x[0][1].max())) if len(x[0][0]) else (-1, 0.0), x[1].label, str(x[1].id)))
+    named = [(r, np.frombuffer(r.terms, np.int64), np.frombuffer(r.counts, np.int64)) for r in got]
+    buckets = np.unique(np.concatenate([np.flatnonzero(column), *(t for _, t, _ in named)]))
+    spark = docs.sparkSession
+    # A row per task and term, summed; the terms are bounded by the sample.
+    shared = spark.sparkContext.broadcast(buckets)
+    texts = docs.select(F.col(text_col).alias("text"))
+    frequencies = texts.mapInArrow(_documents(shared), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(len(buckets))
+    df[frequencies["term"]] = frequencies["df"]
+    idf = np.log((docs.count() + 1) / (df + 1)) + 1
+    idf[buckets < 1 << 62] *= GRAM_WEIGHT
+    index = Index(buckets, idf, np.empty(0), np.empty(0), [], prior)
+    vectors = [(index.vector(r.n_words, np.searchsorted(buckets, t), c), r) for r, t, c in named]
+    # Like with like: by the heaviest run, or else the heaviest of the words that many examples have, then its weight.
+    held = np.bincount(np.concatenate([v[0] for v, _ in vectors]), minlength=len(buckets))
+    common = (held * 30 >= len(vectors)) | (buckets < 1 << 62)
+
+    def like(x):
+        (t, w), r = x
+        t, w = t[common[t]], w[common[t]]
+        return (int(t[w.argmax()]), -float(w.max())) if len(t) else (-1, 0.0), r.label, str(r.id)
+
+    vectors.sort(key=like)
     index.ids = [r.id for _, r in vectors]
     index.labels = np.array([r.label for _, r in vectors], float)
     index.weights = np.where(index.labels == 1, total.get(1, p) / p, total.get(0, n) / n)
@@ -263,13 +329,13 @@ class Lookup:
     """Scores and nearest examples of texts; equal weights are looked up once for each call."""
 
     def __init__(self, index: Index):
-        self.index, self.column, self.n_terms = index, index.column, len(index.buckets) + 1
+        self.index = index
 
     def __call__(self, texts: pa.Array) -> list[tuple[float, list[tuple[float, int]]]]:
         index, known, out = self.index, {}, []
-        counts, found = term_counts(texts, self.column, self.n_terms)
+        counts, found = term_counts(texts, index.buckets)
         for n_words, (t, n) in zip(counts, found):
-            key = (n_words if len(t) else n_words > 0, t.tobytes(), n.tobytes())
+            key = t.tobytes(), n.tobytes()
             if key not in known:
                 near = index.nearest(*index.vector(int(n_words), t, n)) if index.starts is not None else []
                 known[key] = index.score(index.vote(near)), near

@@ -88,6 +88,15 @@ def test_drop_toxic(fitted):
     assert left.filter("doc_id % 6 = 0").count() <= 3 and left.filter("doc_id % 6 != 0").count() >= 745
 
 
+def test_a_copy_of_any_example_is_nearest_to_it(spark, fitted):
+    _, _, index = fitted
+    rows = [r for r in documents(900) if r[0] in set(index.ids)][:120]
+    assert any(r[0] % 6 for r in rows)  # also examples without any insult
+    copies = spark.createDataFrame([(10_000 + r[0], *r[1:]) for r in rows], SCHEMA)
+    for r in toxicity.score(copies, index).collect():
+        assert r.evidence[0].id == r.doc_id - 10_000 and r.evidence[0].similarity > 0.999999
+
+
 def test_without_labels(spark, odd, none):
     index = toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(odd, index).collect()} == {0.0}
