@@ -11,7 +11,8 @@ adaptive execution splits a hot host's pages.
 
 Cases: lines are compared without spaces, tabs and carriage returns around them; blank lines stay
 and count as no line. A null text counts as empty and comes back null. Pages without a host share
-one. Hosts of fewer than MIN_PAGES pages are left alone: a share means little there. Repeated rows
+one. Every host goes by the ratio, but a line on one page alone is never boilerplate; min_pages
+leaves smaller hosts alone where a caller asks for it. Repeated rows
 count as pages of their own. An empty table gives an empty result.
 """
 
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import write_table
 
-#: Share of a host's pages over which a line is boilerplate, and pages a host needs.
-RATIO, MIN_PAGES = 0.05, 20
+#: Share of a host's pages over which a line is boilerplate, and pages a host needs: any host goes by the ratio.
+RATIO, MIN_PAGES = 0.05, 1
 #: Lines of all hosts, at 16 bytes each, that are broadcast at most.
 BROADCAST_LINES = 500_000
 

@@ -24,7 +24,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", report=True)
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", min_pages=20, report=True)  # its SQL has HAVING count(*) >= 20
     return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 

@@ -181,6 +181,22 @@ def test_lines(spark, odd_rows, monkeypatch, broadcast):
     assert got.filter("n_dropped > 0").count() == 90
 
 
+def test_small_hosts_go_by_the_ratio(spark):
+    df = spark.createDataFrame([row(i, f"All rights reserved\n{prose(i, 12)}", f"s{i // 4}") for i in range(20)], SCHEMA)
+    assert [r.text for r in line_dedup.line_dedup(df, "source").orderBy("doc_id").collect()] == [prose(i, 12) for i in range(20)]
+
+
+def test_lines_agree_with_the_sql_where_lines_are_dropped(spark):
+    import duckdb
+
+    df = spark.createDataFrame([row(i, f"All rights reserved\n{prose(i, 12)}", f"s{i % 2}") for i in range(60)], SCHEMA)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    got = line_dedup.line_dedup(df, "source", min_pages=20, report=True)
+    assert got.filter("n_dropped = 1").count() == 60
+    assert sorted(map(str, con.execute(line_dedup.ORACLE).fetchall())) == sorted(str(tuple(r)) for r in got.select("doc_id", "text", "n_lines", "n_dropped").collect())
+
+
 def test_lines_use_no_python(odd):
     plan = line_dedup.line_dedup(odd, "source")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
