@@ -1,7 +1,7 @@
 """Secret scans judged by corpus-wide ownership frequency.
 
-Every text is searched for the base kinds (assign, access, hex) and for further kinds: private key
-headers, JSON web tokens, credentials in URLs, and opaque tokens of mixed characters. Of each match
+Every text is searched for the base kinds (assign, access, hex) and for further kinds: whole private
+keys, JSON web tokens, credentials in URLs, and opaque tokens of mixed characters. Of each match
 the secret's own value is hashed, and for every value the corpus says in how many owners and
 repositories it stands. A value in WIDE_OWNERS owners or WIDE_REPOS repositories or more is an
 example that people copy; one that few own and whose characters look random is taken to be live.
@@ -43,7 +43,12 @@ BASE = {
     "hex": re.compile(r"[0-9a-f]{16,}"),
 }
 FURTHER = {
-    "pem": re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    "pem": re.compile(
+        r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"
+        r"(?:((?:(?!-----).)*)-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----"  # up to its END, or else while lines are base64
+        r"|((?:\s*(?:\\[rn])*[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=]))*(?:\s*(?:\\[rn])*[A-Za-z0-9+/]+={1,2}(?![A-Za-z0-9+/=]))?))",
+        re.S,
+    ),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "url": re.compile(r"://[^\s/:@]{1,64}:([^\s/:@]{8,128})@"),
     "opaque": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])"),
@@ -51,6 +56,8 @@ FURTHER = {
 KINDS = [*BASE, *FURTHER]
 _HINT = re.compile(r"pass|secret|token|api", re.I)
 _DIGIT = re.compile(r"[0-9]")
+#: White space in a key, also as escapes.
+_BREAK = re.compile(r"\s|\\[rn]")
 
 
 def entropy(value: str) -> float:
@@ -68,7 +75,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, in
     base += [(m.start(), 2, m.end(), m[0]) for m in BASE["hex"].finditer(text)]
     more = []
     if "PRIVATE KEY-----" in text:
-        more += [(m.start(), 3, m.end(), text[m.end() : m.end() + 64].strip() or m[0]) for m in FURTHER["pem"].finditer(text)]
+        more += [(m.start(), 3, m.end(), _BREAK.sub("", m[1] or m[2] or "") or m[0]) for m in FURTHER["pem"].finditer(text)]
     if "eyJ" in text:
         more += [(m.start(), 4, m.end(), m[0]) for m in FURTHER["jwt"].finditer(text)]
     if "://" in text and "@" in text:

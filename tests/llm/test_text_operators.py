@@ -194,6 +194,22 @@ def test_redaction_takes_live_ones_only(spark, odd_rows, monkeypatch, broadcast)
     assert of[0] == rows[0][1] and of[5] is None
 
 
+def test_private_keys_that_share_a_prefix_are_different_values(spark):
+    import base64
+    import random
+
+    def key(i):
+        body = base64.b64encode(b"openssh-key-v1" + bytes(60) + random.Random(i).randbytes(180)).decode()
+        return "-----BEGIN OPENSSH PRIVATE KEY-----\n" + "\n".join(body[j : j + 70] for j in range(0, len(body), 70)) + "\n"
+
+    end = "-----END OPENSSH PRIVATE KEY-----"
+    rows = [row(300 + i, f"a {key(i)}{end if i % 2 else ''} z", f"o{i}") for i in range(6)]
+    got = secret_scan.redact(spark.createDataFrame(rows, SCHEMA), "source", "doc_id").collect()
+    assert {r.text.split() == ["a", "[pem", "removed]", "z"] for r in got} == {True}
+    copied = [row(300 + i, f"a {key(1)}{end} z", f"o{i}") for i in range(6)]
+    assert {r.text for r in secret_scan.redact(spark.createDataFrame(copied, SCHEMA), "source", "doc_id").filter("not text like '%BEGIN%'").collect()} == set()
+
+
 def statistics(t):
     w = t.encode().split()
     tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
