@@ -106,6 +106,9 @@ def _all() -> dict[str, tuple[str, str]]:
     grid = "SELECT s_nationkey, s_suppkey, NULL AS s_name FROM (SELECT DISTINCT s_nationkey FROM t) CROSS JOIN (SELECT DISTINCT s_suppkey FROM t) WHERE (s_nationkey, s_suppkey) NOT IN (SELECT s_nationkey, s_suppkey FROM t)"
     put("add_combinations", "supplier then keep where [s_suppkey] < 20 then pick [s_nationkey, s_suppkey, s_name] then add_combinations [s_nationkey, s_suppkey]", f"WITH t AS (SELECT s_nationkey, s_suppkey, s_name FROM supplier WHERE s_suppkey < 20) SELECT * FROM t UNION ALL {grid}")
     put("add_combinations_by", "orders then keep where [o_custkey] < 40 then pick [o_custkey, o_orderstatus, o_orderpriority, o_orderkey] then add_combinations [o_orderstatus, o_orderpriority] by [o_custkey]", "WITH t AS (SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey FROM orders WHERE o_custkey < 40), g AS (SELECT * FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM t) JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM t) USING (o_custkey)) SELECT * FROM t UNION ALL SELECT o_custkey, o_orderstatus, o_orderpriority, NULL FROM g ANTI JOIN t USING (o_custkey, o_orderstatus, o_orderpriority)")
+    every = "SELECT s_nationkey, s_suppkey, NULL AS s_name FROM (SELECT DISTINCT s_nationkey FROM t) CROSS JOIN (SELECT DISTINCT s_suppkey FROM t)"
+    put("add_combinations_whole", "supplier then pick [s_nationkey, s_suppkey, s_name] then add_combinations [s_nationkey, s_suppkey]", f"WITH t AS (SELECT s_nationkey, s_suppkey, s_name FROM supplier) SELECT * FROM t UNION ALL SELECT * FROM ({every}) ANTI JOIN t USING (s_nationkey, s_suppkey)")
+    put("add_combinations_by_whole", "orders then pick [o_custkey, o_orderstatus, o_orderpriority, o_orderkey] then add_combinations [o_orderstatus, o_orderpriority] by [o_custkey]", "WITH t AS (SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey FROM orders), g AS (SELECT * FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM t) JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM t) USING (o_custkey)) SELECT * FROM t UNION ALL SELECT o_custkey, o_orderstatus, o_orderpriority, NULL FROM g ANTI JOIN t USING (o_custkey, o_orderstatus, o_orderpriority)")
     # columns
     put("rename", "region then rename [key] as [r_regionkey], [label] as [r_name]", "SELECT r_regionkey AS key, r_name AS label FROM region")
     put("drop_missing", "orders then add [x] as when([o_totalprice] > 100000, 1), [y] as when([o_totalprice] < 300000, 1) then drop_missing [x] then drop_missing then pick [o_orderkey]", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_totalprice < 300000")
