@@ -68,6 +68,8 @@ def _all() -> dict[str, tuple[str, str]]:
     # sort and take
     put("sort_missing_last", "orders then add [x] as when([o_totalprice] > 300000, [o_totalprice]) then sort [x] descending, [o_orderkey] then take 500 then pick [o_orderkey, x]", "SELECT o_orderkey, x FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS x FROM orders) ORDER BY x DESC NULLS LAST, o_orderkey LIMIT 500")
     put("sort_missing_first", "orders then add [x] as when([o_totalprice] > 300000, [o_totalprice]) then sort [x], [o_orderkey] missing first then take 500 then pick [o_orderkey, x]", "SELECT o_orderkey, x FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS x FROM orders) ORDER BY x NULLS FIRST, o_orderkey LIMIT 500")
+    put("sort_missing_last_place", "orders then add [x] as when([o_totalprice] > 300000, [o_totalprice]) then sort [x] descending, [o_orderkey] then add [place] as row_number() then pick [o_orderkey, x, place]", "SELECT o_orderkey, x, CAST(row_number() OVER (ORDER BY x DESC NULLS LAST, o_orderkey) AS INTEGER) AS place FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS x FROM orders)")
+    put("sort_missing_first_place", "orders then add [x] as when([o_totalprice] > 300000, [o_totalprice]) then sort [x], [o_orderkey] missing first then add [place] as row_number() then pick [o_orderkey, x, place]", "SELECT o_orderkey, x, CAST(row_number() OVER (ORDER BY x NULLS FIRST, o_orderkey) AS INTEGER) AS place FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS x FROM orders)")
     put("sort_dropped_key", "orders then sort [o_totalprice] descending, [o_orderkey] then pick [o_orderkey] then take 20", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
     put("take_n", "orders then sort [o_totalprice] descending, [o_orderkey] then take 25", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
     put("take_by", "orders then sort [o_totalprice] descending, [o_orderkey] then take 3 by [o_custkey]", "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
