@@ -50,8 +50,8 @@ FURTHER = {
         re.S,
     ),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "url": re.compile(r"://[^\s/:@]{1,64}:([^\s/:@]{8,128})@"),
-    "opaque": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])"),
+    "url": re.compile(r"://[^\s/:@]+:([^\s/:@]{8,})@"),
+    "opaque": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"),
 }
 KINDS = [*BASE, *FURTHER]
 _HINT = re.compile(r"pass|secret|token|api", re.I)

@@ -210,6 +210,13 @@ def test_private_keys_that_share_a_prefix_are_different_values(spark):
     assert {r.text for r in secret_scan.redact(spark.createDataFrame(copied, SCHEMA), "source", "doc_id").filter("not text like '%BEGIN%'").collect()} == set()
 
 
+def test_long_tokens_and_passwords_are_found():
+    token = "sk9Lq2Zt7Xw4Vb8Nm1Pc6Rd3" * 7
+    late = "aBcDeFgHiJkLmNoPqRsTuVwXyZ" * 2 + "12"
+    assert [x[1:3] for x in secret_scan.find(token)[1]] == [(6, len(token))] and [x[1:3] for x in secret_scan.find(late)[1]] == [(6, len(late))]
+    assert ["url" for x in secret_scan.find(f"db://me:{token}@host")[1] if x[1] == 5 and x[3] == token]
+
+
 def statistics(t):
     w = t.encode().split()
     tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
