@@ -1,11 +1,11 @@
-"""Byte-level BPE encoding and decoding by recursive queries in DuckDB, one per batch of a partition.
+"""Byte-level BPE encoding by recursive queries in DuckDB, one per batch of a partition.
 
 Words are the matches of the split pattern. The distinct words of a batch that neither the rank
 table nor the worker's cache holds become token-position rows, a row per byte. Each step of the
 recursive query joins neighbouring tokens with the merge table and contracts every word's leftmost
 pair of minimum rank, until no word has a pair left. Words longer than LONG_BYTES would take that
-many steps, so a heap does the same contractions on them, in the same order. Decoding is an ordered
-aggregation of the ids' bytes.
+many steps, so a heap does the same contractions on them, in the same order. Decoding joins the ids' bytes
+from a table in Python, not by an aggregation in DuckDB.
 
 Cases: a null or empty text has no ids and decodes to nothing; repeated rows and null ids give a
 row each; other columns are never read; an empty table gives an empty result.
@@ -51,7 +51,6 @@ WITH RECURSIVE state AS (
 ), ended AS (SELECT w, step FROM state GROUP BY w, step HAVING count(r) = 0)
 SELECT s.w, list(s.tok ORDER BY s.i) AS ids FROM state s JOIN ended USING (w, step) GROUP BY s.w ORDER BY s.w
 """
-DECODE = "SELECT t, string_agg(hex(v.b), '' ORDER BY p) AS bytes FROM ids JOIN vocabulary v USING (id) GROUP BY t ORDER BY t"
 
 _worker: dict = {}
 
