@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
 import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Paths of the tables that stand now; all are deleted when the driver ends.
+_made: list[str] = []
 #: Once a step's result stands in a table, its shuffle files are of no more use; else they stay until the driver happens to collect garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set and one process does all (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="plainframe-")
     return _own[app]
@@ -39,18 +45,47 @@ def write_table(df: DataFrame, name: str, even: bool = True) -> DataFrame:
         (df.hint("rebalance") if even else df).write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
+    where, files = _place(spark, path)
+    files.deleteOnExit(where)
+    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plainframe_path = path
     return out
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where, files = _place(spark, path)
+    files.delete(where, True)
+    if path in _made:
+        _made.remove(path)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that write_table made, once nothing lazy reads it any more."""
     path = getattr(df, "_plainframe_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, *kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """Around operators and the action that writes their result: tables that they made inside are deleted at its end.
+
+    Results are lazy and read their tables when an action runs, so only the caller knows when they have
+    served. Without this, tables stay until the driver ends. What the list that this gives holds stays.
+    """
+    before, keep = set(_made), list(kept)
+    try:
+        yield keep
+    finally:
+        stay = before | {getattr(x, "_plainframe_path", None) for x in keep}
+        for path in [x for x in _made if x not in stay]:
+            _delete(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -69,13 +104,16 @@ _shipped: set[str] = set()
 ROWS_AT_A_TIME = {"spark.sql.parquet.columnarReaderBatchSize": "256", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
-def ship(spark: SparkSession) -> None:
-    """Ready a session for these operators: batches for long texts, and, once for each application, this package's code on the executors."""
+def ship(spark: SparkSession) -> SparkSession:
+    """Ready a session for these operators: batches for long texts, and, once for each application, this package's code on the executors.
+
+    The batch sizes stay set, since Spark reads them when a lazy result runs, after the operator returned.
+    """
     context = spark.sparkContext
     for key, value in ROWS_AT_A_TIME.items():
         spark.conf.set(key, value)
     if context.applicationId in _shipped:
-        return
+        return spark
     _shipped.add(context.applicationId)
     package = pathlib.Path(__file__).resolve().parent.parent
     out = pathlib.Path(tempfile.mkdtemp()) / "plainframe.zip"
@@ -83,3 +121,4 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(str(out))
+    return spark

@@ -45,6 +45,12 @@ def hashes(distinct: pa.Array, seed: int = 0) -> np.ndarray:
     return np.fromiter((h(w, seed) for w in distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))
 
 
+def expand(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each run, many of them."""
+    ends = np.cumsum(many)
+    return np.repeat(first - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose top bits depend on all bits."""
     x = (x ^ (x >> np.uint64(31))) * M1

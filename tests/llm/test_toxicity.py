@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -38,7 +40,7 @@ def test_held_out_accuracy(spark, fitted):
     right = [r.predicted == int(r.doc_id % 6 == 0) for r in got]
     assert sum(right) / len(right) > 0.98
     assert all(0 <= r.score <= 1 for r in got)
-    assert all(not (toxicity_held(r.doc_id)) for x in got for r in x.evidence[:0])
+    assert not any(toxicity_held(x.id) for r in got for x in r.evidence)
 
 
 def toxicity_held(i):
@@ -51,19 +53,58 @@ def test_labels_of_held_out_rows_are_never_learned(fitted):
     assert fitted[2].ids and not any(toxicity_held(i) for i in fitted[2].ids)
 
 
-def test_neighbours_are_exact(fitted):
-    index = fitted[2]
-    dense = np.zeros((len(index.ids), len(index.buckets) + 1))
-    for t, (p, w) in enumerate(index.postings):
-        dense[p, t] = w
-    rng = np.random.default_rng(1)
-    for _ in range(60):
-        terms = np.sort(rng.choice(len(index.buckets), min(len(index.buckets), rng.integers(1, 8)), replace=False))
-        t, w = index.vector(int(rng.integers(5, 200)), terms, rng.integers(1, 9, len(terms)))
-        sims = np.round(dense[:, t] @ w, 9)
-        order = sorted(((-s, p) for p, s in enumerate(sims) if s > 0))[: toxicity.NEAREST]
-        got = index.nearest(t, w)
-        assert [p for _, p in got] == [p for _, p in order] and np.allclose([s for s, _ in got], [-s for s, _ in order])
+def brute_vector(text, weight_of):
+    """Weights of a text's terms, from the text itself."""
+    n = Counter()
+    for w in re.findall(r"[^\W_]+", text.lower()):
+        n[w, 0] += 1
+        for k in toxicity.PREFIXES:
+            if len(w) > k:
+                n[w[:k], k] += 1
+    v = {t: (1 + math.log(c)) * weight_of[t] for t, c in n.items() if t in weight_of}
+    length = math.sqrt(sum(x * x for x in v.values()))
+    return {t: x / length for t, x in v.items()}
+
+
+def test_neighbours_are_exact(spark, fitted):
+    """Weights, cosines, neighbours and votes from raw texts, without the index."""
+    docs, labels, index = fitted
+    text = {r.doc_id: r.text for r in docs.collect()}
+    label = {r.doc_id: r.toxic for r in labels.dropna().collect()}
+    examples = [i for i in text if not toxicity_held(i)]
+    assert len(examples) == sum(len([j for j in examples if text[j] == text[i]]) for i in index.ids) and len(examples) < toxicity.NEGATIVE
+    terms = {i: {x for w in re.findall(r"[^\W_]+", t.lower()) for x in [(w, 0), *((w[:k], k) for k in toxicity.PREFIXES if len(w) > k)]} for i, t in text.items()}
+    df = Counter(x for ts in terms.values() for x in ts)
+    yes = Counter(x for i in examples if label[i] for x in terms[i])
+    no = Counter(x for i in examples if not label[i] for x in terms[i])
+    p = sum(label[i] for i in examples)
+    weight = {x: (math.log((len(text) + 1) / (df[x] + 1)) + 1) * math.log2(2 + yes[x] / p * (len(examples) - p) / max(1, no[x])) ** 2 for x in set(yes) | set(no)}
+    vectors = {i: brute_vector(text[i], weight) for i in index.ids}
+    place = {i: k for k, i in enumerate(index.ids)}
+    some = [i for i in text if i % 7 == 0] + [i for i in text if toxicity_held(i)][:40]
+    got = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    for i in some:
+        q = brute_vector(text[i], weight)
+        sims = sorted(((-round(sum(x * v.get(t, 0) for t, x in q.items()), toxicity.PLACES), place[j]) for j, v in vectors.items()))[: toxicity.NEAREST]
+        near = [(-s, k) for s, k in sims if s]
+        assert np.allclose([x.similarity for x in got[i].evidence], [s for s, _ in near[:3]], atol=3e-6)
+        clear = all(a[0] - b[0] > 1e-5 for a, b in zip(near[:4], near[1:4]))
+        assert not clear or [x.id for x in got[i].evidence] == [index.ids[k] for _, k in near[:3]]
+        assert abs(got[i].score - index.score(index.vote(near))) < 0.02
+
+
+def test_equal_examples_vote_together_and_order_ignores_labels_and_ids(spark):
+    texts = [(i, prose(i % 20, 40) + (" moronic worthless" if i % 20 < 5 else "")) for i in range(200)]
+    one = [(i, t, int(i % 20 < 5)) for i, t in texts]
+    two = [(1000 - i, t, y) for i, t, y in one]
+    found = []
+    for rows in (one, two):
+        df = spark.createDataFrame(rows, "doc_id string, text string, toxic int").repartition(3)
+        index = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+        assert len(index.ids) == 20 and abs(index.mass.sum() - sum(r[2] or 1 for r in rows)) < 1
+        got = toxicity.score(df, index).collect()
+        found.append(sorted({(r.score, tuple(x.similarity for x in r.evidence)) for r in got}))
+    assert found[0] == found[1]
 
 
 def test_votes_are_calibrated_upwards(fitted):
