@@ -9,12 +9,14 @@ verdict on all rows is part of the scan's projection, with no shuffle and no Pyt
 Only the fit sees a sample: the TRAIN_ROWS labelled rows whose id hashes lowest.
 
 Words are counted in windows of three inside the row: the window's hash (38 bits) and place (26
-bits) share one long, longs are sorted, and neighbours of one hash are compared word by word. A
-text may hold 2**26 words.
+bits) share one long, longs are sorted, and neighbours of one hash are compared word by word. Where
+two of one hash differ, and where a text has more words than places, the windows are sorted by their words
+instead, so the count is exact for any text.
 
 Cases: a null or empty text has no words and fails the base rule; without labels there are no rules
-and the base rule alone decides; repeated rows and null ids give a row each; labels that repeat an
-id count as often as they stand; other columns are never read; an empty table gives an empty result.
+and the base rule alone decides; repeated rows and null ids give a row each; a labelled id that
+stands in several rows is learned from once for each label it has, by its lowest statistics; other columns are never read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -39,29 +41,44 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _repeated(w: Column) -> Column:
     """Words of the array w that stand in windows of three found twice or more."""
-    mask = F.lit((1 << PLACE_BITS) - 1)
+    n, top = F.size(w), (1 << PLACE_BITS) - 1
+    mask = F.lit(top)
 
     def packed(i: Column) -> Column:
         print_ = F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-        return print_.bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(i.cast("long"))
+        return print_.bitwiseAND(F.lit(-top - 1)).bitwiseOR(i.cast("long"))
 
-    def alike(a: Column, b: Column) -> Column:
-        p, q = a.bitwiseAND(mask).cast("int"), b.bitwiseAND(mask).cast("int")
-        same = F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)
-        for k in range(3):
-            same = same & (F.get(w, p + k) == F.get(w, q + k))
-        return F.coalesce(same, F.lit(False))
+    def beside(s: Column) -> Column:
+        """For each window and the one after it in order: 0 for other hashes, 1 for the same words, 2 for other words of one hash."""
 
-    def places(s: Column) -> Column:
-        again = F.filter(s, lambda x, j: alike(x, F.get(s, j + 1)) | ((j > 0) & alike(F.get(s, j - 1), x)))
-        return F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask)))
+        def code(a: Column, j: Column) -> Column:
+            b = F.get(s, j + 1)
+            p, q = a.bitwiseAND(mask).cast("int"), b.bitwiseAND(mask).cast("int")
+            same = (F.get(w, p) == F.get(w, q)) & (F.get(w, p + 1) == F.get(w, q + 1)) & (F.get(w, p + 2) == F.get(w, q + 2))
+            return F.when(F.shiftright(a, PLACE_BITS) != F.shiftright(b, PLACE_BITS), 0).when(same, 1).when(b.isNull(), 0).otherwise(2)
+
+        return F.transform(s, code)
+
+    def again(s: Column, alike: Column, place: Callable[[Column], Column]) -> Column:
+        """Places of the windows that are like the one after them or the one before."""
+        return F.sort_array(F.transform(F.filter(s, lambda x, j: (F.get(alike, j) == 1) | ((j > 0) & (F.get(alike, j - 1) == 1))), place))
+
+    def by_words(of: Column) -> Column:
+        windows = F.sort_array(F.transform(of, lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("long").alias("i"))))
+        same = lambda s: F.transform(s, lambda x, j: F.when((x["a"] == F.get(s, j + 1)["a"]) & (x["b"] == F.get(s, j + 1)["b"]) & (x["c"] == F.get(s, j + 1)["c"]), 1).otherwise(0))
+        return let(windows, lambda s: let(same(s), lambda alike: again(s, alike, lambda x: x["i"])))
+
+    def by_hash(of: Column) -> Column:
+        windows = F.sort_array(F.transform(of, packed))
+        places = lambda s, alike: F.when(F.array_contains(alike, 2), by_words(of)).otherwise(again(s, alike, lambda x: x.bitwiseAND(mask)))
+        return let(windows, lambda s: let(beside(s), lambda alike: places(s, alike)))
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, k + 1), x + 3) - x))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, b: a + b)
 
-    windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), packed))
-    return F.when(F.size(w) >= 3, let(windows, lambda s: let(places(s), covered))).otherwise(F.lit(0).cast("long"))
+    starts = F.sequence(F.lit(0), n - 3)
+    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(F.when(n > top, by_words(starts)).otherwise(by_hash(starts)), covered))
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -182,17 +199,18 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], fold: np.ndarray) ->
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
     """The decision list, from the statistics of at most TRAIN_ROWS labelled rows (label 0: low quality)."""
-    some = labels.select(F.col(id_col).alias("_pf_id"), F.col(label_col).alias("_pf_label")).dropna().orderBy(F.xxhash64("_pf_id"), "_pf_id", "_pf_label").limit(TRAIN_ROWS)
+    some = labels.select(F.col(id_col).alias("_pf_id"), F.col(label_col).alias("_pf_label")).dropna().distinct().orderBy(F.xxhash64("_pf_id"), "_pf_id", "_pf_label").limit(TRAIN_ROWS)
     # Bounded by TRAIN_ROWS rows of two numbers, so every task can have them.
     rows = docs.select(F.col(id_col).alias("_pf_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_pf_id")
     of = features()
     names = list(of)
     fold = (F.pmod(F.xxhash64("_pf_id", F.lit("fold")), F.lit(3)) == 0).alias("fold")
-    got = statistics(rows).select("_pf_id", "_pf_label", fold, *(of[n].alias(n) for n in names)).limit(4 * TRAIN_ROWS).collect()
+    measured = statistics(rows).select("_pf_id", "_pf_label", fold, F.struct(*(of[n].alias(n) for n in names)).alias("x"))
+    got = measured.groupBy("_pf_id", "_pf_label", "fold").agg(F.min("x").alias("x")).collect()  # a row for each of TRAIN_ROWS at most
     if not got:
         return []
-    got.sort(key=lambda r: tuple(r))
-    x = np.array([r[3:] for r in got], float)
+    got.sort(key=lambda r: (str(r._pf_id), r._pf_label))
+    x = np.array([tuple(r.x) for r in got], float)
     return learn(x, np.array([r._pf_label == 0 for r in got]), names, np.array([r.fold for r in got]))
 
 

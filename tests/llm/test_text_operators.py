@@ -231,6 +231,36 @@ def test_quality_statistics(odd, odd_rows):
     assert all(r.kept != r.base_failed for r in got)
 
 
+@pytest.mark.parametrize("bits", [2, 40, 60])
+def test_quality_statistics_where_hashes_clash_and_places_end(spark, odd, odd_rows, monkeypatch, bits):
+    """Hashes of 4 and 24 bits, and texts of more words than places."""
+    monkeypatch.setattr(quality_rules, "PLACE_BITS", bits)
+    r = __import__("random").Random(bits)
+    more = [row(500 + i, " ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 400)))) for i in range(40)]
+    docs = odd.unionByName(spark.createDataFrame(more, SCHEMA))
+    got = quality_rules.quality_rules(docs, []).collect()
+    assert sorted(str(tuple(r)[:7]) for r in got) == sorted(str((i, *statistics(x))) for i, x in text_of(odd_rows + more))
+
+
+def test_quality_statistics_of_a_million_words(spark):
+    r = __import__("random").Random(1)
+    text = " ".join(f"w{r.randrange(150)}" for _ in range(1_000_000))
+    got = quality_rules.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string"), []).collect()
+    assert tuple(got[0])[:7] == (1, *statistics(text))
+
+
+def test_decision_list_against_brute_force():
+    """The verdict is that of the first rule that holds, and each rule covers what it says."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((600, 3)), 3)
+    bad = (x[:, 0] > 0.7) & (x[:, 1] <= 0.5) | (x[:, 2] > 0.93)
+    rules = quality_rules.learn(x, bad, ["p", "q", "r"], rng.random(600) < 0.33)
+    place = {"p": 0, "q": 1, "r": 2}
+    verdict = [next((k for k, rule in enumerate(rules) if all((v[place[n]] > cut) == above for n, above, cut in rule.conditions)), None) for v in x]
+    caught = np.array([v is not None for v in verdict])
+    assert len(rules) >= 2 and (caught & bad).sum() > 0.85 * bad.sum() and (caught & ~bad).sum() <= 0.1 * caught.sum()
+
+
 def test_quality_rules_learn_what_is_bad(spark):
     rows = [row(i, prose(i, 100) if i % 4 else " ".join(f"{x}***" for x in prose(i, 100).split())) for i in range(400)]
     docs = spark.createDataFrame(rows, SCHEMA)
