@@ -1,18 +1,26 @@
-"""Byte-level BPE encoding by recursive queries in DuckDB, one per batch of a partition.
+"""Byte-level BPE by DuckDB: recursive queries encode, ordered aggregation decodes, both per slice of a partition.
 
-Words are the matches of the split pattern. The distinct words of a batch that neither the rank
+Words are the matches of the split pattern. The distinct words of a slice that neither the rank
 table nor the worker's cache holds become token-position rows, a row per byte. Each step of the
 recursive query joins neighbouring tokens with the merge table and contracts every word's leftmost
-pair of minimum rank, until no word has a pair left. Words longer than LONG_BYTES would take that
-many steps, so a heap does the same contractions on them, in the same order. Decoding joins the ids' bytes
-from a table in Python, not by an aggregation in DuckDB.
+pair of minimum rank, until no word has a pair left. A word of n bytes makes n^2 / 2 rows at most
+over all steps, and a query takes words while these sums stay under QUERY_ROWS, which bounds its memory.
+
+Words longer than LONG_BYTES are cut where two neighbouring bytes stand side by side in no token, so
+that no contraction could cross; the pieces go through the same query. A piece that is still longer
+would need as many steps as it has bytes, each over all of them, so a heap does the same
+contractions on it, in the same order.
+
+Decoding joins a slice's ids with the tokens' bytes and aggregates them by text in order of place,
+DECODE_TOKENS at a time; a longer text is decoded in parts.
 
 Cases: a null or empty text has no ids and decodes to nothing; repeated rows and null ids give a
-row each; other columns are never read; an empty table gives an empty result.
+row each; ids may be of any type; other columns are never read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import array
 import base64
 import hashlib
 import heapq
@@ -23,12 +31,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import ship
 from .text import slices
 
-#: Longest word, in bytes, that the recursive query takes.
-LONG_BYTES = 256
-#: Words a query takes at a time, and words a worker's cache holds beside those of the slice, and text bytes of a slice.
-QUERY_WORDS, CACHE_WORDS, SLICE_BYTES = 50_000, 500_000, 12_000_000
+#: Longest piece, in bytes, that the recursive query takes, and rows over all steps of one query at most.
+LONG_BYTES, QUERY_ROWS = 256, 2_500_000
+#: Words a worker's cache holds beside those of the slice, bytes of the longest it keeps, text bytes of a slice, ids decoded at a time.
+CACHE_WORDS, CACHE_BYTES, SLICE_BYTES, DECODE_TOKENS = 500_000, 256, 12_000_000, 1_000_000
 
 CONTRACT = """
 WITH RECURSIVE state AS (
@@ -52,6 +61,8 @@ WITH RECURSIVE state AS (
 SELECT s.w, list(s.tok ORDER BY s.i) AS ids FROM state s JOIN ended USING (w, step) GROUP BY s.w ORDER BY s.w
 """
 
+DECODE = "SELECT part, list(bytes ORDER BY i) AS bytes FROM ids JOIN tokens USING (id) GROUP BY part ORDER BY part"
+
 _worker: dict = {}
 
 
@@ -69,19 +80,21 @@ class Codec:
         self.ranks, self.words, self.cache = read_ranks(path), regex.compile(pattern), {}
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        self.pairs = {}
+        self.pairs, inner = {}, np.zeros(1 << 16, bool)
         for token, r in self.ranks.items():
             for k in range(1, len(token)):
+                inner[token[k - 1] << 8 | token[k]] = True
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
-                    self.pairs[a, b] = r
-        merges = pa.table({"a": pa.array([a for a, _ in self.pairs], pa.int32()), "b": pa.array([b for _, b in self.pairs], pa.int32()), "r": pa.array(self.pairs.values(), pa.int32())})
-        self.con.register("m", merges)
-        self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
-        self.con.unregister("m")
-        self.bytes_of = np.empty(max(self.ranks.values()) + 1, object)
-        for token, r in self.ranks.items():
-            self.bytes_of[r] = token
+                    self.pairs[a << 32 | b] = r
+        self.inner = inner
+        self.fill("merges", pa.table({"a": pa.array([x >> 32 for x in self.pairs], pa.int32()), "b": pa.array([x & 0xFFFFFFFF for x in self.pairs], pa.int32()), "r": pa.array(self.pairs.values(), pa.int32())}))
+        self.fill("tokens", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks, pa.binary())}))
+
+    def fill(self, name: str, rows: pa.Table) -> None:
+        self.con.register("rows_", rows)
+        self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_")
+        self.con.unregister("rows_")
 
     def contract(self, words: list[bytes]) -> list[list[int]]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -94,39 +107,58 @@ class Codec:
         self.con.unregister("seed")
         return out
 
+    def cut(self, word: bytes) -> list[bytes]:
+        """A long word's pieces: no token holds the two bytes beside a cut."""
+        b = np.frombuffer(word, np.uint8).astype(np.int64)
+        ends = np.flatnonzero(~self.inner[b[:-1] << 8 | b[1:]]) + 1
+        return [word[i:j] for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(word)])]
+
     def contract_long(self, word: bytes) -> list[int]:
         """The same contractions, from a heap: the pair of minimum rank first, of those the leftmost."""
-        tok, n = self.of_byte[np.frombuffer(word, np.uint8)].tolist(), len(word)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := self.pairs.get((tok[i], tok[i + 1]))) is not None]
+        n, pairs = len(word), self.pairs
+        tok = array.array("q", self.of_byte[np.frombuffer(word, np.uint8)].tolist())
+        after, before = array.array("q", range(1, n + 1)), array.array("q", range(-1, n - 1))
+        heap = [r << 40 | i for i in range(n - 1) if (r := pairs.get(tok[i] << 32 | tok[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            r, i = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            r, i = top >> 40, top & ((1 << 40) - 1)
             j = after[i]
-            if tok[i] < 0 or j >= n or self.pairs.get((tok[i], tok[j])) != r:
+            if tok[i] < 0 or j >= n or pairs.get(tok[i] << 32 | tok[j]) != r:
                 continue
             tok[i], tok[j], after[i] = r, -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a in (before[i], i):
-                if a >= 0 and after[a] < n and (x := self.pairs.get((tok[a], tok[after[a]]))) is not None:
-                    heapq.heappush(heap, (x, a))
+                if a >= 0 and after[a] < n and (x := pairs.get(tok[a] << 32 | tok[after[a]])) is not None:
+                    heapq.heappush(heap, x << 40 | a)
         return [x for x in tok if x >= 0]
 
-    def learn(self, words: set[str]) -> None:
-        short = []
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words, packed."""
+        packed = lambda ids: np.array(ids, np.uint32).tobytes()
+        out, pieces = {}, {}
         for word in words:
             raw = word.encode()
             if (r := self.ranks.get(raw)) is not None:
-                self.cache[word] = np.array([r], np.uint32).tobytes()
-            elif len(raw) <= LONG_BYTES:
-                short.append((word, raw))
+                out[word] = packed([r])
             else:
-                self.cache[word] = np.array(self.contract_long(raw), np.uint32).tobytes()
-        for k in range(0, len(short), QUERY_WORDS):
-            part = short[k : k + QUERY_WORDS]
-            for (word, _), ids in zip(part, self.contract([raw for _, raw in part])):
-                self.cache[word] = np.array(ids, np.uint32).tobytes()
+                pieces[word] = [raw] if len(raw) <= LONG_BYTES else self.cut(raw)
+        known, part, rows = {}, [], 0
+        for piece in {x for xs in pieces.values() for x in xs}:
+            if len(piece) > LONG_BYTES:
+                known[piece] = packed(self.contract_long(piece))
+                continue
+            more = len(piece) * (len(piece) + 1) // 2
+            if part and rows + more > QUERY_ROWS:
+                known |= zip(part, map(packed, self.contract(part)))
+                part, rows = [], 0
+            part.append(piece)
+            rows += more
+        if part:
+            known |= zip(part, map(packed, self.contract(part)))
+        out |= ((word, b"".join(map(known.__getitem__, xs))) for word, xs in pieces.items())
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
@@ -135,13 +167,31 @@ class Codec:
         fresh = {x for x in needed if x not in self.cache}
         if len(self.cache) + len(fresh) > CACHE_WORDS:
             self.cache = {x: self.cache[x] for x in needed if x in self.cache}  # what this slice shares with those before is frequent
+        own = {}
         if fresh:
-            self.learn(fresh)
+            found = self.learn(fresh)
+            own = {x: ids for x, ids in found.items() if len(x) > CACHE_BYTES}
+            self.cache |= found if not own else {x: ids for x, ids in found.items() if x not in own}
+        if own:
+            return [b"".join(own[w] if w in own else self.cache[w] for w in x) for x in split]
         get = self.cache.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        return [b"".join(self.bytes_of[np.frombuffer(x, np.uint32)]) for x in ids]
+        """The bytes of each text's packed ids."""
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+        text = np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids])
+        out: list[list[bytes]] = [[] for _ in ids]
+        for a in range(0, len(flat), DECODE_TOKENS):
+            part = pa.table({"part": text[a : a + DECODE_TOKENS], "i": np.arange(min(DECODE_TOKENS, len(flat) - a)), "id": flat[a : a + DECODE_TOKENS]})
+            self.con.register("ids", part)
+            got = self.con.sql(DECODE).to_arrow_table().combine_chunks()
+            self.con.unregister("ids")
+            for k, lists in zip(got.column("part").to_pylist(), got.column("bytes").chunks[0]):
+                at = lists.values  # an array of bytes; its values lie side by side
+                ends, data = np.frombuffer(at.buffers()[1], np.int32)[at.offset : at.offset + len(at) + 1], at.buffers()[2]
+                out[k].append(data[int(ends[0]) : int(ends[-1])].to_pybytes())
+        return [b"".join(x) for x in out]
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -163,7 +213,8 @@ def _run(path: str, pattern: str):
 
 def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, ids (binary, little-endian unsigned 32-bit), decoded (bytes)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     out = rows.mapInArrow(_run(ranks, pattern), f"id {dict(rows.dtypes)['id']}, ids binary, decoded binary")
     return out.withColumnRenamed("id", id_col)
 

@@ -91,6 +91,37 @@ def test_heap_and_query_contract_alike():
     assert tool.contract(words) == [tool.contract_long(w) for w in words]
 
 
+def letters(seed: int, n: int, of: str = "abcdefghijklmnopqrstuvwxyz") -> str:
+    return "".join(__import__("random").Random(seed).choices(of, k=n))
+
+
+def test_bpe_of_many_long_words(library):
+    """20,000 distinct words of 200 letters stay within the query's memory."""
+    text = " ".join(letters(i, 200) for i in range(20_000))
+    tool = bpe.codec(RANKS, P.PATTERN)
+    ids = tool.encode([text])
+    assert bpe.ids_of(ids[0]) == library.encode_ordinary(text) and tool.decode(ids) == [text.encode()]
+
+
+@pytest.mark.parametrize("text", [letters(1, 5_000_000, "ACGT"), letters(2, 1_000_000, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), "é" * 200_000 + letters(3, 3000, "日本語中文字"), "=" * 300_000])
+def test_bpe_of_a_very_long_word(library, text):
+    tool = bpe.codec(RANKS, P.PATTERN)
+    ids = tool.encode([text, "a word"])
+    assert [bpe.ids_of(x) for x in ids] == library.encode_ordinary_batch([text, "a word"]) and tool.decode(ids) == [text.encode(), b"a word"]
+    assert not any(len(x) > bpe.CACHE_BYTES for x in tool.cache)
+
+
+def test_long_words_are_cut_where_no_token_crosses(monkeypatch, library):
+    monkeypatch.setattr(bpe, "LONG_BYTES", 12)
+    monkeypatch.setattr(bpe, "DECODE_TOKENS", 7)
+    monkeypatch.setattr(bpe, "QUERY_ROWS", 100)
+    tool = bpe.Codec(RANKS, P.PATTERN)
+    texts = [letters(i, 300, "abcxyzqjé日ßж") for i in range(30)] + ["", "one"]
+    assert any(len(tool.cut(x.encode())) > 1 for x in texts)
+    ids = tool.encode(texts)
+    assert [bpe.ids_of(x) for x in ids] == [library.encode_ordinary(x) for x in texts] and tool.decode(ids) == [x.encode() for x in texts]
+
+
 def test_bpe_cache_that_overflows(monkeypatch, library):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
     tool = bpe.Codec(RANKS, P.PATTERN)
