@@ -36,31 +36,34 @@ from .text import slices
 
 #: Longest piece, in bytes, that the recursive query takes, and rows over all steps of one query at most.
 LONG_BYTES, QUERY_ROWS = 256, 2_500_000
+#: Stands for the token after a word's last one; no token has it.
+NONE = 1 << 30
 #: Words a worker's cache holds beside those of the slice, bytes of the longest it keeps, text bytes of a slice, ids decoded at a time.
 CACHE_WORDS, CACHE_BYTES, SLICE_BYTES, DECODE_TOKENS = 500_000, 256, 12_000_000, 1_000_000
 
+#: A row knows its token, the place and token after it (j, after), and the rank r of that pair. A step takes each word's lowest
+#: (r, i), drops the row at j, and gives its neighbours to the pair's row.
 CONTRACT = """
 WITH RECURSIVE state AS (
-  SELECT 0 AS step, x.w, x.i, x.tok, x.next_i, g.r
-  FROM (SELECT w, i, tok, lead(tok) OVER o AS next_tok, lead(i) OVER o AS next_i FROM seed WINDOW o AS (PARTITION BY w ORDER BY i)) x
-  LEFT JOIN merges g ON g.a = x.tok AND g.b = x.next_tok
+  SELECT 0 AS step, x.w, x.i, x.j, x.tok, x.after, g.r
+  FROM seed x LEFT JOIN merges g ON g.pair = x.tok::BIGINT * 4294967296 + x.after
   UNION ALL
-  SELECT x.step + 1, x.w, x.i, x.tok, x.next_i, g.r
+  SELECT x.step, x.w, x.i, x.j, x.tok, x.after, g.r
   FROM (
-    SELECT step, w, i, tok, lead(tok) OVER o AS next_tok, lead(i) OVER o AS next_i
-    FROM (
-      SELECT s.step, s.w, s.i, CASE WHEN s.i = k.at THEN k.r ELSE s.tok END AS tok
-      FROM state s JOIN (
-        SELECT w, min(r) AS r, arg_min(i, r * 65536::BIGINT + i) AS at, arg_min(next_i, r * 65536::BIGINT + i) AS gone
-        FROM state WHERE r IS NOT NULL GROUP BY w
-      ) k ON s.w = k.w
-      WHERE s.i <> k.gone
-    ) WINDOW o AS (PARTITION BY w ORDER BY i)
-  ) x LEFT JOIN merges g ON g.a = x.tok AND g.b = x.next_tok
-), ended AS (SELECT w, step FROM state GROUP BY w, step HAVING count(r) = 0)
-SELECT s.w, list(s.tok ORDER BY s.i) AS ids FROM state s JOIN ended USING (w, step) GROUP BY s.w ORDER BY s.w
+    SELECT s.step + 1 AS step, s.w, s.i,
+      CASE WHEN s.i = c.i THEN c.j ELSE s.j END AS j,
+      CASE WHEN s.i = c.i THEN c.r ELSE s.tok END AS tok,
+      CASE WHEN s.i = c.i THEN c.after WHEN s.j = c.i THEN c.r ELSE s.after END AS after
+    FROM state s JOIN (
+      SELECT k.w, (k.low >> 32)::INT AS r, ((k.low >> 16) & 65535)::INT AS i, gone.i AS gone, gone.j, gone.after
+      FROM (SELECT w, min(r::BIGINT * 4294967296 + i * 65536 + j) AS low FROM state WHERE r IS NOT NULL GROUP BY w) k
+      JOIN state gone ON gone.w = k.w AND gone.i = (k.low & 65535)
+    ) c ON s.w = c.w
+    WHERE s.i <> c.gone
+  ) x LEFT JOIN merges g ON g.pair = x.tok::BIGINT * 4294967296 + x.after
+), last AS (SELECT w, max(step) AS step FROM state GROUP BY w)
+SELECT s.w, list(s.tok ORDER BY s.i) AS ids FROM state s JOIN last USING (w, step) GROUP BY s.w ORDER BY s.w
 """
-
 DECODE = "SELECT part, list(bytes ORDER BY i) AS bytes FROM ids JOIN tokens USING (id) GROUP BY part ORDER BY part"
 
 _worker: dict = {}
@@ -88,7 +91,7 @@ class Codec:
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = r
         self.inner = inner
-        self.fill("merges", pa.table({"a": pa.array([x >> 32 for x in self.pairs], pa.int32()), "b": pa.array([x & 0xFFFFFFFF for x in self.pairs], pa.int32()), "r": pa.array(self.pairs.values(), pa.int32())}))
+        self.fill("merges", pa.table({"pair": pa.array(self.pairs, pa.int64()), "r": pa.array(self.pairs.values(), pa.int32())}))
         self.fill("tokens", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks, pa.binary())}))
 
     def fill(self, name: str, rows: pa.Table) -> None:
@@ -96,16 +99,21 @@ class Codec:
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_")
         self.con.unregister("rows_")
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids, packed."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        at = np.repeat(np.arange(len(words)), sizes)
-        seed = pa.table({"w": pa.array(at, pa.int32()), "i": pa.array(np.arange(len(flat)) - starts[at], pa.int32()), "tok": self.of_byte[flat]})
-        self.con.register("seed", seed)
-        out = self.con.sql(CONTRACT).to_arrow_table().column("ids").to_pylist()
+        tok = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        ends = np.cumsum(sizes)
+        after = np.append(tok[1:], 0).astype(np.int32)
+        after[ends - 1] = NONE
+        i = np.arange(len(tok)) - np.repeat(ends - sizes, sizes)
+        seed = {"w": np.repeat(np.arange(len(words)), sizes), "i": i, "j": i + 1, "tok": tok, "after": after}
+        self.con.register("seed", pa.table({k: pa.array(v, pa.int32()) for k, v in seed.items()}))
+        out = self.con.sql(CONTRACT).to_arrow_table()
         self.con.unregister("seed")
-        return out
+        ids = out.column("ids").combine_chunks()
+        ends, data = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4").tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def cut(self, word: bytes) -> list[bytes]:
         """A long word's pieces: no token holds the two bytes beside a cut."""
@@ -113,7 +121,7 @@ class Codec:
         ends = np.flatnonzero(~self.inner[b[:-1] << 8 | b[1:]]) + 1
         return [word[i:j] for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(word)])]
 
-    def contract_long(self, word: bytes) -> list[int]:
+    def contract_long(self, word: bytes) -> bytes:
         """The same contractions, from a heap: the pair of minimum rank first, of those the leftmost."""
         n, pairs = len(word), self.pairs
         tok = array.array("q", self.of_byte[np.frombuffer(word, np.uint8)].tolist())
@@ -132,31 +140,35 @@ class Codec:
             for a in (before[i], i):
                 if a >= 0 and after[a] < n and (x := pairs.get(tok[a] << 32 | tok[after[a]])) is not None:
                     heapq.heappush(heap, x << 40 | a)
-        return [x for x in tok if x >= 0]
+        return np.array([x for x in tok if x >= 0], "<u4").tobytes()
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The ids of words, packed."""
-        packed = lambda ids: np.array(ids, np.uint32).tobytes()
-        out, pieces = {}, {}
+        out, pieces, of = {}, {}, self.ranks.get
+        todo: list[tuple[bytes, str | None]] = []
         for word in words:
             raw = word.encode()
-            if (r := self.ranks.get(raw)) is not None:
-                out[word] = packed([r])
+            if (r := of(raw)) is not None:
+                out[word] = r.to_bytes(4, "little")
+            elif len(raw) <= LONG_BYTES:
+                todo.append((raw, word))
             else:
-                pieces[word] = [raw] if len(raw) <= LONG_BYTES else self.cut(raw)
-        known, part, rows = {}, [], 0
+                pieces[word] = self.cut(raw)
+        known = {}
         for piece in {x for xs in pieces.values() for x in xs}:
             if len(piece) > LONG_BYTES:
-                known[piece] = packed(self.contract_long(piece))
-                continue
-            more = len(piece) * (len(piece) + 1) // 2
-            if part and rows + more > QUERY_ROWS:
-                known |= zip(part, map(packed, self.contract(part)))
-                part, rows = [], 0
-            part.append(piece)
-            rows += more
-        if part:
-            known |= zip(part, map(packed, self.contract(part)))
+                known[piece] = self.contract_long(piece)
+            else:
+                todo.append((piece, None))
+        sizes = np.fromiter((len(raw) for raw, _ in todo), np.int64, len(todo))
+        part = np.cumsum(sizes * (sizes + 1) // 2) // QUERY_ROWS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(todo)]
+        for a, b in zip(cuts, cuts[1:]):
+            for (raw, word), ids in zip(todo[a:b], self.contract([raw for raw, _ in todo[a:b]]) if b > a else ()):
+                if word is None:
+                    known[raw] = ids
+                else:
+                    out[word] = ids
         out |= ((word, b"".join(map(known.__getitem__, xs))) for word, xs in pieces.items())
         return out
 
