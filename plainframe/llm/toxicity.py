@@ -13,10 +13,13 @@ The examples are at most POSITIVE + NEGATIVE labelled rows, those whose id hashe
 bounded sample is the fitted classifier, and negatives get the weight that restores their share.
 Examples of equal weights are one entry, which votes with the weights of all of them. Entries lie in
 blocks of BLOCK, like with like. For each term and each block that has it the index has the postings
-and their highest weight. A query's bound for a block is the sum of its weights times these; the
-blocks of highest bound are searched first, then all whose bound reaches the NEAREST found, so
-neighbours are exact. Of entries equally near (to PLACES decimals), the first in the index counts;
-their order goes by weights alone, never by label or id.
+and their highest weight. The lists of terms that one in HEAD entries has are a dense matrix, by which a
+batch of queries is multiplied: the NEAREST-th best of these partial cosines is a floor for the
+final one. A block's bound is its best partial cosine and the sum of the query's other weights times
+their highest there; only blocks whose bound reaches the floor are searched. Entries that come
+within rounding of the NEAREST best have their cosines taken anew in full precision, so neighbours are exact.
+Of entries equally near (to PLACES decimals), the first in the index counts; their order goes by
+weights alone, never by label or id.
 
 Neighbours vote by similarity / (1.05 - similarity). Votes become probabilities by isotonic
 regression over the examples' own votes, each without itself. The neighbours are the evidence.
@@ -50,8 +53,10 @@ from .text import expand, slices
 POSITIVE, NEGATIVE = 2_000, 4_000
 #: Letters of a word's beginnings that are terms beside the word.
 PREFIXES = (4, 5)
-#: Neighbours that vote, entries in a block, neighbours given as evidence, blocks searched before bounds count, decimals of similarities.
-NEAREST, BLOCK, EVIDENCE, FIRST_BLOCKS, PLACES = 15, 64, 3, 4, 6
+#: Neighbours that vote, entries in a block, neighbours given as evidence, decimals of similarities.
+NEAREST, BLOCK, EVIDENCE, PLACES = 15, 256, 3, 6
+#: Share of the entries (one in so many) from which a term's list is dense, queries multiplied at a time, and what rounding may hide.
+HEAD, BATCH, SLACK = 32, 256, 1e-5
 
 
 def word_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -84,12 +89,14 @@ def count_terms(texts: pa.Array, names: np.ndarray | None = None) -> tuple[np.nd
             at = np.minimum(np.searchsorted(names, of), len(names) - 1)
             known = np.where(names[at] == of, at, -1)
             table[:, j] = np.where(place >= 0, known[place] if len(known) else -1, -1)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    term = table[codes]
-    key = (doc[:, None] * max(1, len(names)) + term)[term >= 0]
+    many = max(1, len(names))
+    kind = np.int32 if many * len(counts) < 2**31 else np.int64  # short keys sort faster
+    doc = np.repeat(np.arange(len(counts), dtype=kind) * kind(many), counts)
+    term = table.astype(kind)[codes]
+    key = (doc[:, None] + term)[term >= 0]
     key, n = np.unique(key, return_counts=True)
-    cuts = np.searchsorted(key, np.arange(len(counts) + 1) * max(1, len(names)))
-    return names, cuts, key % max(1, len(names)), n
+    cuts = np.searchsorted(key, np.arange(len(counts) + 1) * many)
+    return names, cuts, (key % many).astype(np.int64), n
 
 
 @dataclass
@@ -102,11 +109,8 @@ class Index:
     ids: list = field(default_factory=list)
     share: np.ndarray = field(default_factory=lambda: np.empty(0))
     mass: np.ndarray = field(default_factory=lambda: np.empty(0))
-    entries: np.ndarray | None = None
-    blocks: np.ndarray | None = None
-    highest: np.ndarray | None = None
-    starts: np.ndarray | None = None
-    places: np.ndarray | None = None
+    ends: np.ndarray | None = None
+    terms: np.ndarray | None = None
     values: np.ndarray | None = None
     knots: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -118,46 +122,66 @@ class Index:
         return terms, weight / math.sqrt(float(weight @ weight))
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """A list for each term and block that has it; a list's postings lie side by side."""
-        term = np.concatenate([t for t, _ in vectors])
-        place = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        """The entries' vectors one after another."""
+        self.ends = np.cumsum([len(t) for t, _ in vectors]).astype(np.int64)
+        self.terms = np.concatenate([t.astype(np.int32) for t, _ in vectors])
+        self.values = np.concatenate([w.astype(np.float32) for _, w in vectors])
+
+    def invert(self) -> None:
+        """The dense lists of frequent terms, and for the others a list for each term and block that has it; done once in each process."""
+        n, n_terms = len(self.ids), len(self.names)
+        place = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.ends, prepend=0))
+        df = np.bincount(self.terms, minlength=n_terms)
+        frequent = np.flatnonzero(df * HEAD >= n)
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        dense = self.column[self.terms] >= 0
+        self.head = np.zeros((n, len(frequent)), np.float32)
+        self.head[place[dense], self.column[self.terms[dense]]] = self.values[dense]
+        term, place, value = self.terms[~dense], place[~dense], self.values[~dense]
         order = np.argsort(term, kind="stable")
-        term, self.places, self.values = term[order], place[order], np.concatenate([w for _, w in vectors])[order].astype(np.float32)
+        term, self.places, self.weights = term[order], place[order].astype(np.intp), value[order]
         block = self.places // BLOCK
         first = np.flatnonzero(np.concatenate(([True], (np.diff(term) != 0) | (np.diff(block) != 0))))[: len(term)]
-        self.blocks, self.starts = block[first].astype(np.int32), np.append(first, len(term)).astype(np.int32)
-        self.highest = np.maximum.reduceat(self.values, first) if len(first) else np.empty(0, np.float32)
-        self.entries = np.searchsorted(term[first], np.arange(len(self.names) + 1)).astype(np.int32)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, most: int = NEAREST) -> list[tuple[float, int]]:
-        """The nearest entries: similarity and place, the nearest first, the first in the index of equals."""
-        if not len(terms):
-            return []
-        many = self.entries[terms + 1] - self.entries[terms]
-        at, w = expand(self.entries[terms], many), np.repeat(weights, many)
-        block = self.blocks[at]
-        n_blocks = -(-len(self.ids) // BLOCK)
-        bound = np.bincount(block, w * self.highest[at], minlength=n_blocks)
-        best_s, best_p = np.empty(0), np.empty(0, np.int64)
-        first = np.zeros(n_blocks, bool)
-        first[np.argpartition(-bound, min(FIRST_BLOCKS, n_blocks) - 1)[:FIRST_BLOCKS]] = True
-        for part in (first, ~first):
-            full = len(best_s) == most
-            visit = part & (bound > 0) & (bound + 1e-5 >= (best_s[-1] if full else 0.0))
-            if not visit.any():
-                continue
-            mine = visit[block]
-            e = at[mine]
-            n = self.starts[e + 1] - self.starts[e]
-            here = expand(self.starts[e], n)
-            sims = np.bincount(self.places[here], np.repeat(w[mine], n) * self.values[here], minlength=len(self.ids))
-            found = np.flatnonzero(sims > (max(best_s[-1] - 1e-5, 0.0) if full else 0.0))
-            if len(found) > most:
-                found = found[sims[found] >= np.partition(sims[found], -most)[-most] - 1e-5]
-            s, p = np.concatenate((best_s, np.round(sims[found], PLACES))), np.concatenate((best_p, found))
-            order = np.lexsort((p, -s))[:most]
-            best_s, best_p = s[order], p[order]
-        return list(zip(best_s.tolist(), best_p.tolist()))
+        self.blocks, self.starts = block[first], np.append(first, len(term))
+        self.highest = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0, np.float32)
+        self.lists = np.searchsorted(term[first], np.arange(n_terms + 1))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], most: int = NEAREST) -> Iterator[list[tuple[float, int]]]:
+        """For each query the nearest entries: similarity and place, the nearest first, the first in the index of equals."""
+        if "head" not in self.__dict__:
+            self.invert()
+        n = len(self.ids)
+        block_starts = np.arange(0, n, BLOCK)
+        for a in range(0, len(vectors), BATCH):
+            part = vectors[a : a + BATCH]
+            q = np.zeros((len(part), self.head.shape[1]))
+            for row, (terms, weights) in zip(q, part):
+                c = self.column[terms]
+                row[c[c >= 0]] = weights[c >= 0]
+            partial = q.astype(np.float32) @ self.head.T
+            best = np.maximum.reduceat(partial, block_starts, axis=1)
+            floor = np.partition(partial, n - most, axis=1)[:, n - most] if n > most else np.zeros(len(part))
+            for (terms, weights), row, sims, top, least in zip(part, q, partial, best, floor):
+                rare = self.column[terms] < 0
+                many = self.lists[terms[rare] + 1] - self.lists[terms[rare]]
+                at, w = expand(self.lists[terms[rare]], many), np.repeat(weights[rare], many)
+                block = self.blocks[at]
+                visit = np.bincount(block, w * self.highest[at], minlength=len(top)) + top + SLACK >= least
+                mine = visit[block]
+                e = at[mine]
+                length = self.starts[e + 1] - self.starts[e]
+                here = expand(self.starts[e], length)
+                rest = np.bincount(self.places[here], np.repeat(w[mine], length) * self.weights[here], minlength=n)
+                sims = sims + rest
+                least = np.partition(sims, n - most)[n - most] if n > most else 0.0
+                found = np.flatnonzero((sims >= least - SLACK) & (sims > 0))
+                s = np.round(self.head[found].astype(np.float64) @ row + rest[found], PLACES)
+                order = np.lexsort((found, -s))[:most]
+                yield [x for x in zip(s[order].tolist(), found[order].tolist()) if x[0] > 0]
 
     def vote(self, near: list[tuple[float, int]], without: tuple[int, float, float] | None = None) -> float:
         """The label's share among neighbours. without: an entry, and mass and share of the example there that has no vote."""
@@ -234,50 +258,53 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     # Bounded by POSITIVE + NEGATIVE rows of two numbers, so every task can have them.
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(some), F.col("id") == F.col("id_"))
     rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    got = rows.mapInArrow(_terms, f"id {dict(rows.dtypes)['id']}, label int, terms binary, counts binary").collect()  # bounded by the sample
-    p = sum(r.label for r in got)
-    if not p or p == len(got):
+    got = rows.mapInArrow(_terms, f"id {dict(rows.dtypes)['id']}, label int, terms binary, counts binary").toArrow()  # bounded by the sample
+    label, ids = np.array(got.column("label").to_pylist(), int), got.column("id").to_pylist()
+    p, n_all = int(label.sum()), len(label)
+    if not p or p == n_all:
         return Index(np.empty(0, np.uint64), np.empty(0), prior)
 
-    names = np.unique(np.concatenate([np.frombuffer(r.terms, np.uint64) for r in got]))
-    found = [(np.searchsorted(names, np.frombuffer(r.terms, np.uint64)), np.frombuffer(r.counts, np.int32)) for r in got]
+    raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("terms")]
+    names = np.unique(np.concatenate(raw))
+    terms = [np.searchsorted(names, x).astype(np.int32) for x in raw]
+    counts = [np.frombuffer(x.as_py(), np.int32) for x in got.column("counts")]
+    del got, raw
     # Rows of a task and term, summed; the terms are bounded by the sample.
     shared = spark.sparkContext.broadcast(names)
     counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_documents(shared), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     df, term = np.zeros(len(names) + 1), counted["term"].to_numpy()
     df[np.where(term < 0, len(names), term)] = counted["df"].to_numpy()
-    labelled = np.bincount(np.concatenate([t for r, (t, _) in zip(got, found) if r.label]), minlength=len(names))
-    others = np.bincount(np.concatenate([t for r, (t, _) in zip(got, found) if not r.label]), minlength=len(names))
+    having = lambda y: np.bincount(np.concatenate([t for t, x in zip(terms, label) if x == y]), minlength=len(names))
+    labelled, others = having(1), having(0)
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
-    index = Index(names, idf * relevance(labelled, others, p, len(got) - p) ** 2, prior)
+    index = Index(names, idf * relevance(labelled, others, p, n_all - p) ** 2, prior)
 
     # Examples of equal weights are one entry; like lies with like, by the heaviest of the terms that many have.
-    same: dict[bytes, list] = {}
-    for r, (t, n) in zip(got, found):
-        same.setdefault(t.tobytes() + n.tobytes(), [t, n, []])[2].append(r)
-    common = (labelled + others) * 30 >= len(got)
+    same: dict[bytes, list[int]] = {}
+    for i, (t, n) in enumerate(zip(terms, counts)):
+        same.setdefault(xxhash.xxh3_128_digest(t.tobytes() + n.tobytes()), []).append(i)
+    common = (labelled + others) * 30 >= n_all
 
     def like(x):
         (t, w), key, _ = x
         t, w = t[common[t]], w[common[t]]
         return (int(t[w.argmax()]), -float(w.max()), key) if len(t) else (-1, 0.0, key)
 
-    entries = sorted(((index.vector(t, n), xxhash.xxh3_128_digest(key), rows) for key, (t, n, rows) in same.items()), key=like)
-    vote_of = {1: total.get(1, p) / p, 0: total.get(0, 1) / (len(got) - p)}
+    entries = sorted(((index.vector(terms[rows[0]], counts[rows[0]]), key, rows) for key, rows in same.items()), key=like)
+    vote_of = {1: total.get(1, p) / p, 0: total.get(0, 1) / (n_all - p)}
     least = min(vote_of.values())
-    masses = [[vote_of[r.label] / least for r in rows] for _, _, rows in entries]
-    index.mass = np.array([sum(m) for m in masses])
-    index.share = np.array([sum(m for m, r in zip(ms, rows) if r.label) / sum(ms) for ms, (_, _, rows) in zip(masses, entries)])
-    index.ids = [min(rows, key=lambda r: str(r.id)).id for _, _, rows in entries]
-    index.build([v for v, _, _ in entries])
+    mass = np.array([vote_of[y] / least for y in label.tolist()])
+    index.mass = np.array([mass[rows].sum() for _, _, rows in entries])
+    index.share = np.array([(mass[rows] * label[rows]).sum() / mass[rows].sum() for _, _, rows in entries])
+    index.ids = [min((ids[i] for i in rows), key=str) for _, _, rows in entries]
+    vectors = [v for v, _, _ in entries]
+    index.build(vectors)
     votes, ys, ws = [], [], []
-    for i, ((v, _, rows), ms) in enumerate(zip(entries, masses)):
-        near = index.nearest(*v, NEAREST + 1)
-        for label in {r.label for r in rows}:
-            m = vote_of[label] / least
-            votes.append(index.vote(near, (i, m, label)))
-            ys.append(label)
-            ws.append(sum(x for x, r in zip(ms, rows) if r.label == label))
+    for i, (near, (_, _, rows)) in enumerate(zip(index.nearest(vectors, NEAREST + 1), entries)):
+        for y in {int(label[j]) for j in rows}:
+            votes.append(index.vote(near, (i, vote_of[y] / least, y)))
+            ys.append(y)
+            ws.append(vote_of[y] / least * sum(label[j] == y for j in rows))
     index.calibrate(np.array(votes), np.array(ys, float), np.array(ws))
     return index
 
@@ -289,16 +316,17 @@ class Lookup:
         self.index = index
 
     def __call__(self, texts: pa.Array) -> list[tuple[float, list[tuple[float, int]]]]:
-        index, known, out = self.index, {}, []
+        index, known = self.index, {}
         _, cuts, term, n = count_terms(texts, index.names)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            t, c = term[a:b], n[a:b]
-            key = t.tobytes(), c.tobytes()
+        keys = [(term[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        for key, a, b in zip(keys, cuts[:-1].tolist(), cuts[1:].tolist()):
             if key not in known:
-                near = index.nearest(*index.vector(t, c)) if index.starts is not None else []
-                known[key] = index.score(index.vote(near)), near
-            out.append(known[key])
-        return out
+                known[key] = index.vector(term[a:b], n[a:b])
+        if index.ends is None:
+            return [(index.score(index.prior), [])] * len(keys)
+        for key, near in zip(list(known), index.nearest(list(known.values()))):
+            known[key] = index.score(index.vote(near)), near
+        return [known[key] for key in keys]
 
 
 def _score(shared):
