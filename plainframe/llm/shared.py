@@ -7,9 +7,9 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _own: dict[str, str] = {}
 #: Paths of the tables that stand now; all are deleted when the driver ends.
@@ -31,6 +31,51 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder for a table of these operators, that goes when the driver ends."""
+    path = f"{shared_dir(spark)}/plainframe-{name}-{uuid.uuid4().hex}"
+    where, files = _place(spark, path)
+    files.deleteOnExit(where)
+    _made.append(path)
+    return path
+
+
+class Files:
+    """Small files of a folder in any store that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _at(self, name: str):
+        return _place(self.spark, f"{self.folder}/{name}" if name else self.folder)
+
+    def names(self) -> list[str]:
+        where, files = self._at("")
+        return [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+
+    def read(self, name: str) -> str:
+        where, files = self._at(name)
+        stream = files.open(where)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Written beside and renamed, so that nobody reads a part of it."""
+        where, files = self._at(name)
+        draft = self._at(f"draft-{uuid.uuid4().hex}")[0]
+        stream = files.create(draft, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if not files.rename(draft, where):
+            raise OSError(f"{where.toString()} is there already")
+
+    def delete(self, name: str) -> None:
+        where, files = self._at(name)
+        files.delete(where, True)
+
+
 def write_table(df: DataFrame, name: str, even: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -38,16 +83,13 @@ def write_table(df: DataFrame, name: str, even: bool = True) -> DataFrame:
     a small file for each task.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plainframe-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     before = spark.conf.get(CLEAN_UP)
     spark.conf.set(CLEAN_UP, "true")
     try:
         (df.hint("rebalance") if even else df).write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    where, files = _place(spark, path)
-    files.deleteOnExit(where)
-    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plainframe_path = path
     return out
@@ -88,6 +130,27 @@ def scratch(spark: SparkSession, *kept: DataFrame) -> Iterator[list[DataFrame]]:
             _delete(spark, path)
 
 
+#: A key is hot if it has more than one in so many of all rows; so there are fewer hot keys than that.
+HOT_SHARE = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right on key (how: inner or left), with no hot key's rows in one task.
+
+    right has a row for each key, and in n how many rows of left have it; total is no more than the
+    rows of left. Hot keys are HOT_SHARE at most, so right's rows for them go to every task and left's stay where they
+    are; the others meet by a shuffle. Both are best written tables, since each is read twice.
+    """
+    hot, rest = right.filter(F.col(n) * HOT_SHARE > total), right.filter(F.col(n) * HOT_SHARE <= total)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(cold.join(rest, key, how))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, value being computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
