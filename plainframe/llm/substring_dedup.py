@@ -1,42 +1,51 @@
 """Incremental substring deduplication over a log-structured fingerprint index.
 
-The index is a list of immutable runs. A run holds, for each owner (a range of hashes), the sorted
-hashes of all windows of WINDOW words that one batch brought in. A new batch, whose ids are all
-higher than those before it, is handled in one exchange:
+The index is a folder of immutable runs and numbered manifests that name them; whoever opens the
+folder, in whatever session, goes on from its highest manifest. A run holds, for each owner (a range of
+hashes), the sorted hashes of all windows of WINDOW words that one batch brought in. A new batch, whose ids count
+as higher than those before it, is handled in one exchange:
 
 - a sender (a slice of documents) hashes every window and sorts the hashes. A window that a lower
   id of the same slice has is settled there; of the rest it sends each owner one packed, sorted list.
 - the owner merges the lists of all senders with its part of every run. A window is repeated if a
   run holds its hash or a lower id of the batch has it. It answers with the repeated places, and the
   hashes that no run held become the batch's run.
-- compaction merges runs once there are more than RUNS of them.
+- compaction merges the runs into one once there are more than RUNS of them. It also splits owners whose part
+  would outgrow OWNER_WINDOWS: their number follows the index, and memory does not.
 
-Hashes are 64 bits; each window carries 16 bits of a second hash, which must agree too before a
-window counts as repeated, so that chance agreement is verified away (80 bits in all).
+Hashes are 56 bits; each window carries 32 bits of a second hash, which must agree too before a
+window counts as repeated, so that chance agreement is verified away. The words of earlier batches are not
+kept, so 88 bits in all stand for them: at 10^13 windows a wrong agreement has a chance of 1 in 6.
 
-A passage in a third of all documents costs an entry per slice, not per document. An owner's lists
-are bounded by OWNER_WINDOWS, from which the number of owners follows.
+A passage in a third of all documents costs an entry per slice, not per document.
+
+A whole table is taken as BATCHES batches in order of id, against an index of its own.
 
 Cases: a null text has no words; texts shorter than a window keep all. A row without an id is left
-whole, and nothing is removed because of it. Rows of one id remove nothing from each other. Repeated
-rows give a row each. Other columns are never read. An empty table gives an empty result.
+whole, and nothing is removed because of it. Rows of one id remove nothing from each other. Ids may be of
+any type that has an order. Repeated rows give a row each. Other columns are never read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import drop_table, partitions, write_table
+from .shared import Files, new_path, partitions, ship, write_table
 from .text import hashes, slices, windows, words
 
 WINDOW = 13
-#: Batches that a whole table is taken in, runs kept before they are merged, windows an owner gets of a batch at most, text bytes of a sender's slice.
-BATCHES, RUNS, OWNER_WINDOWS, SEND_BYTES = 2, 4, 2_000_000, 6_000_000
+#: Batches that a whole table is taken in, runs kept before they are merged, windows an owner has of a batch and of the index at most, text bytes of a sender's slice.
+BATCHES, RUNS, OWNER_WINDOWS, SEND_BYTES = 3, 1, 4_000_000, 6_000_000
+#: Bits of a window's hash.
+HASH_BITS = 56
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -78,7 +87,7 @@ def _send(owner_bits: int, k: int):
         ids, prints = batch.column("id").to_numpy().astype(np.int64), batch.column("print").to_numpy()
         h, doc, place = windows(hashes(distinct)[codes], counts, k)
         check = windows(hashes(distinct, 1)[codes], counts, k)[0]
-        check = (check >> np.uint64(48)).astype(np.uint16)
+        h, check = h >> np.uint64(64 - HASH_BITS), (check >> np.uint64(32)).astype(np.uint32)
         if not len(h):
             return
         order = np.lexsort((check, h))
@@ -89,7 +98,7 @@ def _send(owner_bits: int, k: int):
         if later.any():
             yield 0, None, None, *docs_of(doc[later], place[later], ids, prints), True
         h, doc, place, check = h[~later], doc[~later], place[~later], check[~later]
-        owner = (h >> np.uint64(64 - owner_bits)).astype(np.int64) if owner_bits else np.zeros(len(h), np.int64)
+        owner = (h >> np.uint64(HASH_BITS - owner_bits)).astype(np.int64)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]))
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield int(owner[a]), pack(h[a:b]), check[a:b].tobytes(), *docs_of(doc[a:b], place[a:b], ids, prints), False
@@ -114,7 +123,7 @@ def _send(owner_bits: int, k: int):
 
 
 #: Buckets of documents that owners address their answers to, and places that a bucket gets at most.
-BUCKETS, BUCKET_PLACES = 64, 20_000_000
+BUCKETS, BUCKET_PLACES = 64, 5_000_000
 #: An answer (kind 0, place: a bucket) or a part of a run (kind 1, place: an owner).
 ANSWER = "kind int, place int, ids binary, prints binary, counts binary, data binary, checks binary"
 RUN = "owner int, data binary, checks binary"
@@ -154,7 +163,7 @@ def _own(keep_run: bool, buckets: int):
                 out += _answer(i, q, d, p, buckets)
                 continue
             h.append(unpack(row["hashes"]))
-            check.append(np.frombuffer(row["checks"], np.uint16))
+            check.append(np.frombuffer(row["checks"], np.uint32))
             doc.append(d + np.uint32(base))
             place.append(p)
             ids.append(i)
@@ -166,7 +175,7 @@ def _own(keep_run: bool, buckets: int):
             h, check, doc, place = h[order], check[order], doc[order], place[order]
             held = np.zeros(len(h), bool)
             for row in runs.to_pylist():
-                held |= holds(unpack(row["data"]), np.frombuffer(row["checks"], np.uint16), h, check)
+                held |= holds(unpack(row["data"]), np.frombuffer(row["checks"], np.uint32), h, check)
             starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1]))))
             who = ids[doc]
             lowest = np.repeat(np.minimum.reduceat(who, starts), np.diff(np.append(starts, len(h))))
@@ -213,34 +222,75 @@ def holds(run: np.ndarray, run_check: np.ndarray, h: np.ndarray, check: np.ndarr
     return out
 
 
-def _merge(part: pa.Table) -> pa.Table:
-    h = np.concatenate([unpack(x) for x in part.column("data").to_pylist()])
-    check = np.concatenate([np.frombuffer(x, np.uint16) for x in part.column("checks").to_pylist()])
-    order = np.lexsort((check, h))
-    h, check = h[order], check[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
-    return pa.table({"owner": pa.array([part.column("owner")[0].as_py()], pa.int32()), "data": pa.array([pack(h[new])], pa.binary()), "checks": pa.array([check[new].tobytes()], pa.binary())})
+def _merge(owner_bits: int):
+    """An owner's parts of all runs as one, without repetition, dealt to owners of so many bits."""
 
+    def run(part: pa.Table) -> pa.Table:
+        h = np.concatenate([unpack(x) for x in part.column("data").to_pylist()])
+        check = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("checks").to_pylist()])
+        order = np.lexsort((check, h))
+        h, check = h[order], check[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
+        h, check = h[new], check[new]
+        owner = (h >> np.uint64(HASH_BITS - owner_bits)).astype(np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]))
+        return _table([(int(owner[a]), pack(h[a:b]), check[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])], ["owner", "data", "checks"], [pa.int32(), pa.binary(), pa.binary()])
 
-class FingerprintIndex:
-    """Window hashes of all batches so far, as runs in the shared folder."""
+    return run
 
-    def __init__(self, spark: SparkSession, owner_bits: int, window: int = WINDOW, buckets: int = BUCKETS):
-        self.spark, self.owner_bits, self.window, self.buckets = spark, owner_bits, window, buckets
-        self.runs: list[DataFrame] = []
+
+class FingerprintIndex:
+    """Window hashes of all batches so far, in a folder that all executors share; None: one that goes when the driver ends."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, runs: int | None = None):
+        self.spark, self.path, self.most_runs = ship(spark), path or new_path(spark, "substring-index"), RUNS if runs is None else runs
+        self.files = Files(spark, self.path)
+        self.version, self.state = 0, {"window": window, "owner_bits": max(0, (partitions(spark) - 1).bit_length()), "n_windows": 0, "runs": []}
+        for name in self.files.names():
+            if name.startswith("manifest-") and int(name[9:]) > self.version:
+                self.version = int(name[9:])
+        if self.version:
+            self.state = json.loads(self.files.read(f"manifest-{self.version}"))
+            if self.state["window"] != window:
+                raise ValueError(f"the index at {self.path} has windows of {self.state['window']} words")
+
+    def _commit(self, **state) -> None:
+        """The next manifest; what it no longer names is deleted."""
+        gone = set(self.state["runs"]) - set(state.get("runs", self.state["runs"]))
+        self.state, self.version = self.state | state, self.version + 1
+        self.files.write(f"manifest-{self.version}", json.dumps(self.state))
+        for name in [*gone, f"manifest-{self.version - 1}"]:
+            self.files.delete(name)
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(f"{self.path}/{name}")
+
+    def _held(self) -> DataFrame:
+        """All runs' parts."""
+        return functools.reduce(DataFrame.union, map(self._run, self.state["runs"])) if self.state["runs"] else self.spark.createDataFrame([], RUN)
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return name
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """Answers (packed places of repeated windows, by bucket) to a batch of columns id, print, text. last: no batch follows, so no run is written."""
-        sent = docs.select("id", "print", "text").mapInArrow(_send(self.owner_bits, self.window), SENT)
-        held = self.runs[0] if self.runs else self.spark.createDataFrame([], RUN)
-        for more in self.runs[1:]:
-            held = held.union(more)
-        out = sent.groupBy("owner").cogroup(held.groupBy("owner")).applyInArrow(_own(not last, self.buckets), ANSWER)
+        """Answers (packed places of repeated windows, by bucket) to a batch of columns id (long), print, text.
+
+        last: no batch follows, so the batch's own run is not kept.
+        """
+        n_windows = (docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // 4
+        bits = max(self.state["owner_bits"], (max(self.state["n_windows"], n_windows) // OWNER_WINDOWS).bit_length())
+        if bits > self.state["owner_bits"]:
+            self.compact(bits)
+        buckets = max(BUCKETS, n_windows // BUCKET_PLACES)
+        sent = docs.select("id", "print", "text").mapInArrow(_send(bits, self.state["window"]), SENT)
+        out = sent.groupBy("owner").cogroup(self._held().groupBy("owner")).applyInArrow(_own(not last, buckets), ANSWER)
         out = write_table(out, "substring-batch", even=False)
         if not last:
-            run = out.filter("kind = 1").select(F.col("place").alias("owner"), "data", "checks")
-            self.runs.append(run)
-            if len(self.runs) > RUNS:
+            run = self._write(out.filter("kind = 1").select(F.col("place").alias("owner"), "data", "checks"))
+            self._commit(runs=[*self.state["runs"], run], n_windows=self.state["n_windows"] + n_windows)
+            if len(self.state["runs"]) > self.most_runs:
                 self.compact()
         return out.filter("kind = 0").select("place", "ids", "prints", "counts", "data")
 
@@ -249,15 +299,11 @@ class FingerprintIndex:
         """id, print, data (packed places), a row for each document that has any."""
         return answers.groupBy("place").applyInArrow(_gather, "id long, print long, data binary")
 
-    def compact(self) -> None:
-        """One run in place of all, sorted and without repetition."""
-        merged = self.runs[0]
-        for more in self.runs[1:]:
-            merged = merged.union(more)
-        merged = write_table(merged.groupBy("owner").applyInArrow(_merge, RUN), "substring-run")
-        for run in self.runs:
-            drop_table(run)
-        self.runs = [merged]
+    def compact(self, owner_bits: int | None = None) -> None:
+        """One run in place of all, sorted and without repetition, for owners of so many bits."""
+        bits = self.state["owner_bits"] if owner_bits is None else owner_bits
+        merged = [self._write(self._held().groupBy("owner").applyInArrow(_merge(bits), RUN))] if self.state["runs"] else []
+        self._commit(runs=merged, owner_bits=bits)
 
 
 def _cut(k: int):
@@ -281,28 +327,42 @@ def _cut(k: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, n_words, n_removed, kept_text (kept words joined by one space)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("print"))
+def _numbered(keys: DataFrame) -> DataFrame:
+    """key, number: numbers rise as keys do."""
+    ordered = keys.select("key").dropna().distinct().orderBy("key")
+    return write_table(ordered.select(F.col("key").alias("key_"), F.monotonically_increasing_id().alias("id")), "substring-ids")
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None) -> DataFrame:
+    """One row per row: id, n_words, n_removed, kept_text (kept words joined by one space).
+
+    index: docs are a new batch for it, later than all that it holds, and stay in it; without one, docs
+    are all there is.
+    """
+    spark = ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"), F.lit(0).cast("long").alias("print"))
+    kind = dict(rows.dtypes)["key"]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        rows = rows.withColumn("id", F.col("key").cast("long"))
+    else:
+        rows = rows.join(_numbered(rows), F.col("key") == F.col("key_"), "left").select("key", "text", "print", "id")
     if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("id IS NOT NULL AND n > 1").limit(1).count():
         # 32 bits of the text's hash tell rows of one id apart.
         rows = rows.withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF)))
-    size = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.percentile_approx(id_col, [k / batches for k in range(1, batches)], 10_000).alias("cuts")).first()
-    n_windows = (size.bytes or 0) // 4
-    owner_bits = max(partitions(spark) - 1, n_windows // batches // OWNER_WINDOWS).bit_length()
-    cuts = sorted(set(size.cuts or []))
-    index = FingerprintIndex(spark, owner_bits, window, max(BUCKETS, n_windows // BUCKET_PLACES))
-    answers = None
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = rows.filter(F.col("id").isNotNull())
-        part = part.filter(F.col("id") > low) if low is not None else part
-        part = part.filter(F.col("id") <= high) if high is not None else part
-        found = index.add(part, last=high is None)
-        answers = found if answers is None else answers.union(found)
-    gathered = index.places(answers).select(F.col("id").alias("id_"), F.col("print").alias("print_"), "data")
-    joined = rows.join(gathered, (F.col("id") == F.col("id_")) & (F.col("print") == F.col("print_")), "left").select("id", "text", "data")
-    return joined.mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+    batch = rows.filter(F.col("id").isNotNull())
+    if index:
+        answers = index.add(batch)
+    else:
+        cuts = sorted(set(rows.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000).alias("cuts")).first().cuts or []) if batches > 1 else [])
+        own, found = FingerprintIndex(spark, window=window), []
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            part = batch.filter(F.col("id") > low) if low is not None else batch
+            part = part.filter(F.col("id") <= high) if high is not None else part
+            found.append(own.add(part, last=high is None))
+        answers = functools.reduce(DataFrame.union, found)
+    gathered = FingerprintIndex.places(answers).select(F.col("id").alias("id_"), F.col("print").alias("print_"), "data")
+    joined = rows.join(gathered, (F.col("id") == F.col("id_")) & (F.col("print") == F.col("print_")), "left").select(F.col("key").alias("id"), "text", "data")
+    return joined.mapInArrow(_cut(index.state["window"] if index else window), f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
 
 ORACLE = """
