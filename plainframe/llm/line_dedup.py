@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import write_table
+from .shared import let, ship, write_table
 
 #: Share of a host's pages over which a line is boilerplate, and pages a host needs: any host goes by the ratio.
 RATIO, MIN_PAGES = 0.05, 1
@@ -49,25 +49,35 @@ def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float, min
 
 def line_dedup(docs: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, report: bool = False) -> DataFrame:
     """docs with boilerplate lines gone from their texts; report adds n_lines and n_dropped."""
+    ship(docs.sparkSession)
     found = write_table(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
     if (found.agg(F.sum(F.size("_pf_lines")).alias("n")).first().n or 0) <= BROADCAST_LINES:
         found = F.broadcast(found)
     joined = docs.join(found, F.col(f"`{host_col}`").eqNullSafe(F.col("_pf_host")), "left")
     text, lines = F.col(f"`{text_col}`"), F.split(F.col(f"`{text_col}`"), "\n")
-    dropped = F.filter(lines, lambda x: (bare(x) != "") & F.array_contains(F.col("_pf_lines"), digest(x)))
-    kept = F.filter(lines, lambda x: (bare(x) == "") | ~F.array_contains(F.col("_pf_lines"), digest(x)))
-    out = [F.when(F.col("_pf_lines").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+
+    def without(x: Column) -> Column:
+        """Lines that stay. A page's lines are digested once and meet the host's list by hash; blank lines are in no list."""
+        stay = lambda d: let(F.array_intersect(d, "_pf_lines"), lambda hits: F.when(F.size(hits) == 0, x).otherwise(F.filter(x, lambda _, i: ~F.array_contains(hits, F.get(d, i)))))
+        return let(F.transform(x, digest), stay)
+
+    kept = F.when(F.col("_pf_lines").isNull(), lines).otherwise(let(lines, without))
+    names = [c for c in docs.columns if c != text_col]
+    rows = joined.select(*(F.col(f"`{c}`").alias(f"_pf_{i}") for i, c in enumerate(names)), text.alias("_pf_text"), kept.alias("_pf_kept"))
+    place = {c: F.col(f"_pf_{i}") for i, c in enumerate(names)}
+    out = [F.array_join("_pf_kept", "\n").alias(c) if c == text_col else place[c].alias(c) for c in docs.columns]
     if report:
+        lines = F.split("_pf_text", "\n")
         n_lines = F.coalesce(F.size(F.filter(lines, lambda x: bare(x) != "")), F.lit(0))
-        n_dropped = F.when(F.col("_pf_lines").isNull() | text.isNull(), 0).otherwise(F.size(dropped))
-        out += [F.when(text.isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped")]
-    return joined.select(*out)
+        n_dropped = F.coalesce(F.size(lines) - F.size("_pf_kept"), F.lit(0))
+        out += [F.when(F.col("_pf_text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("_pf_text").isNull(), 0).otherwise(n_dropped).cast("long").alias("n_dropped")]
+    return rows.select(*out)
 
 
 ORACLE = """
 WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 each AS (SELECT DISTINCT doc_id, source, trim(l, ' ' || chr(9) || chr(13)) AS line FROM (SELECT doc_id, source, unnest(lines) AS l FROM pages) WHERE trim(l, ' ' || chr(9) || chr(13)) <> ''),
-totals AS (SELECT source, count(*) AS n_pages FROM documents GROUP BY source HAVING count(*) >= 20),
+totals AS (SELECT source, count(*) AS n_pages FROM documents GROUP BY source),
 over AS (SELECT source, list(line) AS found FROM (SELECT source, line, count(*) AS n FROM each GROUP BY ALL) JOIN totals USING (source) WHERE n > 1 AND n > CAST(0.05 AS DOUBLE) * n_pages GROUP BY source),
 cut AS (
   SELECT doc_id, lines, list_filter(lines, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '' AND list_contains(coalesce(found, []), trim(x, ' ' || chr(9) || chr(13)))) AS gone,
