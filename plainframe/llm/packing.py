@@ -12,20 +12,23 @@ the capacity, goes to the driver. There the plan is made:
 
 A plan is a list of runs: as many sequences with the same lengths in the same order. Its size follows
 from the capacity and GROUPS, not from the data, so it is broadcast. Pieces find their places by
-their rank among pieces of one length. Ranks are counted in salted parts (SALTS a length), whose
-offsets are sums over the parts' counts, so that a length that a third of all pieces share is spread.
+their rank among pieces of one length. Ranks are counted in salted parts, as many as keep a part under
+PART_PIECES were all pieces of one length, whose offsets are sums over the parts' counts; so a length that a
+third of all pieces share is spread.
 
-A word's ids do not depend on its neighbours across ASCII white space, nor those of its letters on
+A tokenizer that lower-cases, drops white space and cuts letters from marks (read from its file)
+gives a word ids that do not depend on its neighbours across ASCII white space, nor those of its letters on
 the marks behind them. Such units are encoded once, through a cache in each worker, and texts are
-put together from them.
+put together from them. Any other tokenizer gets whole texts.
 
 Cases: a null or empty text is its end token alone; repeated rows and null ids give pieces each;
-other columns are never read; an empty table gives an empty result.
+ids may be of any type; other columns are never read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,14 +38,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import partitions, write_table
+from .shared import partitions, ship, write_table
 from .text import slices, words
 
 CAPACITY, END = 2048, 0
 #: Groups of large lengths, and the share of the capacity over which a length is large.
 GROUPS, LARGE = 512, 4
-SALTS = 64
+PART_PIECES = 1_000_000
 SLICE_BYTES, CACHE_WORDS, CACHE_UNITS = 6_000_000, 1_200_000, 700_000
+#: How a tokenizer's file says that it lower-cases and cuts words into runs of letters, digits and marks.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: A word of plain letters, then marks: the tokenizer lower-cases it and cuts it between the two, so both parts have ids of their own.
 PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?|*&%#$]*)").fullmatch
 
@@ -58,6 +64,11 @@ class _Vocabulary:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        self.by_units = spec.get("normalizer") == NORMALIZER and cuts[0] == SPLIT and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in cuts[1:])
+        self.by_units = self.by_units and spec["post_processor"] is None and not any(c in x["content"] for x in spec["added_tokens"] for c in " \t\n\v\f\r")
         self.clear()
 
     def clear(self) -> None:
@@ -100,6 +111,9 @@ def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if _worker.get("path") != path:
         _worker.update(path=path, vocabulary=_Vocabulary(path))
     known: _Vocabulary = _worker["vocabulary"]
+    if not known.by_units:
+        all_ids = [[*known.model.encode(x or "", add_special_tokens=False).ids, END] for x in texts.to_pylist()]
+        return np.array([i for ids in all_ids for i in ids], np.uint32), np.cumsum([len(ids) for ids in all_ids], dtype=np.int64)
     counts, codes, distinct = words(texts)
     units = known.places(distinct)
     flat, starts = np.array(known.ids, np.uint32), np.array(known.starts, np.int64)
@@ -273,11 +287,11 @@ def _place(shared):
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and with_ids the ids (binary, little-endian unsigned 32-bit)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spark = ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(rows.dtypes)["id"]
     pieces = write_table(rows.mapInArrow(_pieces(tokenizer, capacity, with_ids), f"id {kind}, {PIECES}"), "pieces", even=False)
-    salt = F.pmod(F.xxhash64("id", "piece"), F.lit(max(SALTS, partitions(spark)))).alias("salt")
+    salt = F.pmod(F.xxhash64("id", "piece"), F.lit(max(partitions(spark), -(-pieces.count() // PART_PIECES)))).alias("salt")
     counts = pieces.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # bounded by the capacity
     shared = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
