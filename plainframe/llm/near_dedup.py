@@ -11,12 +11,17 @@ Within a bucket, edges go from one centre, its smallest class, to the others: as
 has members. Confirmed edges make components. The buckets of FIRST_BANDS bands come first, since copies
 share most of their buckets, then all buckets. A bucket whose members are all in one component is
 done, since more edges could not change anything. In the others the next centre is taken, against
-members of other components; when few such pairs are left (EXHAUST a member), all of them are compared
-inside one join by sketches, BITS bits of each bin, and those whose estimate is less than DEVIATIONS
-standard deviations below the threshold (a chance of some 3 in 10 million to lose one), and by
-bitmaps that bound their intersection. Those that pass are confirmed or refused like all others. So no group's pairs are all emitted to find that it is one component.
+members of other components. Once no more edges are left than a round of stars may have, one a member and band
+(FINISH), every member is a centre: the edges left are looked at inside one join by sketches, BITS bits
+of each bin, of which those count whose estimate is less than DEVIATIONS standard deviations below the
+threshold (a chance of some 3 in 10 million to lose one), and by bitmaps that bound their
+intersection. Those that pass are confirmed or refused like all others. So the edges of any round are
+bounded by members and bands, and no group's pairs are all emitted.
 
-Cases: a text without words has an empty set, and is linked with nothing; one of fewer words than a
+Keys that many rows share are split: a class of many copies, a component of many classes and a node of many links by
+shared.hot_join, a centre's full set by a copy of it for every STAR edges.
+
+Cases: ids may be of any type that has an order; a text without words has an empty set, and is linked with nothing; one of fewer words than a
 shingle is one shingle as a whole. Null ids come after all others. Rows that share id and text are
 copies of which one is kept. Other columns are never read. An empty table gives an empty result.
 """
@@ -32,15 +37,17 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import drop_table, write_table
+from .shared import drop_table, hot_join, ship, write_table
 from .text import M1, hashes, mix, slices, windows, words
 
 #: Bins of a signature (a power of two), bins in a band, bands.
 BINS, ROWS, BANDS = 256, 6, 42
 #: Bands whose buckets give the first edges; the others only see classes that these left apart.
 FIRST_BANDS = 6
-#: Pairs left, for each member of a bucket, that are compared at once instead of by further centres.
-EXHAUST = 50
+#: Edges left, for each member of a bucket, at which every member is a centre.
+FINISH = BANDS
+#: Edges of a centre that meet one copy of its set.
+STAR = 256
 #: Bits of each bin in a sketch, and standard deviations of its estimate by which a pair may look less similar than it must be.
 BITS, DEVIATIONS = 4, 5
 #: Bits of the bitmap of a set's hashes that bounds intersections (a power of two).
@@ -160,15 +167,18 @@ def _sets(k: int):
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node, label: the smallest node that links (a, b) lead to. Labels of neighbours, then labels of labels, until none changes."""
     both = write_table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), name)
+    labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"), F.count(F.lit(1)).alias("links")), name)
+    n_links, n_nodes = both.count(), labels.count()
     while True:
-        of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
-        near = both.join(of_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        stepped = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        of_label = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        jumped = write_table(stepped.join(of_label, "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), name)
+        of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("near"), "links")
+        near = hot_join(both, of_b, "b", "links", n_links).groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        stepped = write_table(labels.join(near, "node").select("node", "links", "label", F.least("label", "near").alias("next")), name)
+        of_label = labels.select(F.col("node").alias("next"), F.col("label").alias("far")).join(stepped.groupBy("next").agg(F.count(F.lit(1)).alias("n")), "next")
+        far = hot_join(stepped, write_table(of_label, f"{name}-far"), "next", "n", n_nodes)
+        jumped = write_table(far.select("node", "links", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), name)
         moved = jumped.filter("moved").limit(1).count()
         drop_table(labels)
+        drop_table(stepped)
         labels = jumped.drop("moved")
         labels._plainframe_path = jumped._plainframe_path
         if not moved:
@@ -178,18 +188,19 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_shingles, component_id (smallest id reachable), kept, print (xxhash64 of the text)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"))
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
     kind = dict(rows.dtypes)["id"]
     signed = rows.select(F.monotonically_increasing_id().alias("uid"), "*").mapInArrow(_sign(shingle), f"uid long, id {kind}, print long, n long, digest binary, bands array<long>, sketch array<long>")
     signed = write_table(signed, "near-signed", even=False)
     order = F.struct(F.col("id").isNull().alias("last"), "id", "uid")
     # One row for a class: copies meet in partial minima before the shuffle.
-    classes = signed.filter("n > 0").groupBy("digest").agg(F.min(order).alias("best")).select("digest", "best", F.col("best.uid").alias("cid"))
+    classes = signed.filter("n > 0").groupBy("digest").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("copies")).select("digest", "best", "copies", F.col("best.uid").alias("cid"))
     classes = write_table(classes, "near-classes")
     keyed = signed.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi")
     keys = keyed.select(F.col("uid").alias("cid"), "n", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    members = write_table(keys.join(shared, "key").select("key", "band", "cid", "n"), "near-members")
+    shared = write_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-shared")
+    members = write_table(hot_join(keys, shared, "key", "size", BANDS * classes.count()).select("key", "band", "cid", "n"), "near-members")
 
     # The full sets of the classes that share a bucket, from the texts of one row each.
     needed = signed.join(members.select(F.col("cid").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("cid"), F.col("id").alias("id_"), F.col("print").alias("print_"))
@@ -197,8 +208,13 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     sets = write_table(texts.mapInArrow(_sets(shingle), "cid long, members array<long>, marks array<long>"), "near-sets", even=False)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        of = lambda c: sets.select(F.col("cid").alias(c), F.col("members").alias(f"set_{c}"))
-        both = pairs.select("a", "b").distinct().join(of("b"), "b").join(of("a"), "a")
+        pairs = write_table(pairs.select("a", "b").distinct(), "near-pairs")
+        stars = write_table(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("edges")), "near-stars")
+        copies = F.ceil(F.col("edges") / STAR).cast("int")
+        dealt = hot_join(pairs, stars, "a", "edges", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), copies).cast("int").alias("copy"))
+        set_b = sets.select(F.col("cid").alias("b"), F.col("members").alias("set_b"))
+        set_a = sets.join(stars, sets.cid == stars.a).select("a", F.col("members").alias("set_a"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+        both = dealt.join(set_b, "b").join(set_a, ["a", "copy"])
         both = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("inter"), (F.size("set_a") + F.size("set_b")).cast("long").alias("sum"))
         return both.filter(100 * F.col("inter") >= percent * (F.col("sum") - F.col("inter"))).select("a", "b").distinct()
 
@@ -207,30 +223,30 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         """Members with the labels known by now, of buckets that hold several."""
         known = labels.select(F.col("node").alias("cid"), F.col("label").alias("new"))
         labelled = open_.join(known, "cid", "left").select("key", "cid", "n", F.coalesce("new", "cid").alias("label"))
-        undone = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        return write_table(labelled.join(undone, "key", "left_semi"), "near-open")
+        labelled = write_table(labelled, "near-labelled")
+        undone = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("key", "size")
+        return write_table(hot_join(labelled, write_table(undone, "near-undone"), "key", "size", labelled.count()).select("key", "cid", "n", "label"), "near-open")
 
     def starred(open_: DataFrame) -> DataFrame:
         """Members of other components than their bucket's centre, which is its smallest member."""
-        centre = open_.groupBy("key").agg(F.min(F.struct("cid", "n", "label")).alias("c"))
-        return open_.join(centre, "key").filter((F.col("cid") > F.col("c.cid")))
+        centre = write_table(open_.groupBy("key").agg(F.min(F.struct("cid", "n", "label")).alias("c"), F.count(F.lit(1)).alias("size")), "near-centres")
+        return hot_join(open_, centre, "key", "size", open_.count()).filter((F.col("cid") > F.col("c.cid")))
 
     def star_pairs(stars: DataFrame) -> DataFrame:
         near = (F.col("label") != F.col("c.label")) & near_size(F.col("n"), F.col("c.n"))
         return stars.filter(near).select(F.col("c.cid").alias("a"), F.col("cid").alias("b"))
 
-    def all_pairs(open_: DataFrame) -> DataFrame:
-        """Pairs of different components that look alike, each from one of the buckets that it shares."""
-        marked = signed.select(F.col("uid").alias("cid"), "bands", "sketch").join(sets.select("cid", "marks"), "cid").join(open_.select("cid").distinct(), "cid", "left_semi")
+    def last_pairs(open_: DataFrame) -> DataFrame:
+        """Pairs of different components that look alike, every member being a centre."""
+        marked = signed.select(F.col("uid").alias("cid"), "sketch").join(sets.select("cid", "marks"), "cid").join(open_.select("cid").distinct(), "cid", "left_semi")
         b = open_.join(marked, "cid")
-        a = b.select("key", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "label", "bands", "sketch", "marks")))
+        a = b.select("key", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "label", "sketch", "marks")))
         apart_ = (F.col("label") != F.col("label_a")) & (F.col("cid") > F.col("cid_a")) & near_size(F.col("n"), F.col("n_a"))
-        once = F.array_min(F.array_intersect("bands", "bands_a")) == F.col("key")
         alike = looks_alike(F.col("sketch"), F.col("sketch_a"), percent) & may_link(F.col("n"), F.col("n_a"), F.col("marks"), F.col("marks_a"), percent)
-        return b.join(a, "key").filter(apart_ & alike & once).select(F.col("cid_a").alias("a"), F.col("cid").alias("b"))
+        return b.join(a, "key").filter(apart_ & alike).select(F.col("cid_a").alias("a"), F.col("cid").alias("b"))
 
     links = labels = None
-    many = EXHAUST * members.count() + 1000
+    many = FINISH * members.count()
     open_ = members.filter(F.col("band") < FIRST_BANDS).select("key", "cid", "n", F.col("cid").alias("label"))
     first = True
     while True:
@@ -239,8 +255,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         left = (sides.agg(F.sum("pairs").alias("pairs")).first().pairs or 0) / 2
         last = not first and left <= many
         if left:
-            new = write_table(confirmed(all_pairs(open_) if last else star_pairs(stars)), "near-links")
-            links = new if links is None else links.union(new)
+            found = confirmed(last_pairs(open_) if last else star_pairs(stars))
+            links = write_table(found if links is None else links.union(found), "near-links")
             labels = components(links)
         if first and labels is not None:
             open_ = apart(members)
@@ -254,12 +270,12 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         first = False
 
     if labels is None:
-        best = classes.select("digest", "best")
+        best = classes.select("digest", "best", "copies")
     else:
-        grouped = classes.join(labels, classes.cid == labels.node, "left").select("digest", "best", F.coalesce("label", "cid").alias("label"))
-        tops = grouped.groupBy("label").agg(F.min("best").alias("top"))
-        best = grouped.join(tops, "label").select("digest", F.col("top").alias("best"))
-    out = signed.select("uid", "id", "n", "digest", "print").join(best, "digest", "left")
+        grouped = write_table(classes.join(labels, classes.cid == labels.node, "left").select("digest", "best", "copies", F.coalesce("label", "cid").alias("label")), "near-grouped")
+        tops = write_table(grouped.groupBy("label").agg(F.min("best").alias("top"), F.count(F.lit(1)).alias("classes")), "near-tops")
+        best = write_table(hot_join(grouped, tops, "label", "classes", classes.count()).select("digest", F.col("top").alias("best"), "copies"), "near-best")
+    out = hot_join(signed.select("uid", "id", "n", "digest", "print"), best, "digest", "copies", signed.filter("n > 0").count(), "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
