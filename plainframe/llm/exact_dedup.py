@@ -6,11 +6,12 @@ answers every list with a bitmap: which of its fingerprints some other list hold
 suspects, texts whose fingerprint came back marked or that repeat inside their sender, are
 shuffled as texts; grouping them by digest and bytes verifies equality before rows are dropped.
 
-A sender sends a fingerprint once however often it holds it, so a text that makes up a third of
+Groups that hold more than a thousandth of all rows are few, so their answers go to every task and no
+task gets all rows of one. A sender sends a fingerprint once however often it holds it, so a text that makes up a third of
 all rows costs one code per sender and no owner gets more than one per sender of it.
 
 Cases: a null text counts as empty, and empty texts equal each other. A null id is lower than any
-other. Of rows that share text and id, exactly one is kept. An empty table gives an empty result.
+other; ids may be of any type that has an order. Of rows that share text and id, exactly one is kept. An empty table gives an empty result.
 Other columns of the input are never read. Should two texts of one SHA-256 ever differ, the query
 raises instead of dropping one.
 """
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import drop_table, partitions, write_table
+from .shared import drop_table, hot_join, partitions, ship, write_table
 
 #: Rows that a sender gathers before it sends: bounds its memory.
 CHUNK_ROWS = 1_000_000
@@ -118,11 +119,13 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256. Of equal texts the row with the largest id stays."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spark = ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    kind = dict(rows.dtypes)["id"]
     digest = F.unhex(F.sha2("text", 256)).alias("sha")
     base = write_table(rows.select(F.monotonically_increasing_id().alias("uid"), "id", F.xxhash64("text").alias("fp"), digest), "exact-base")
-    owner_bits = max(partitions(spark) - 1, base.count() // OWNER_ROWS).bit_length()
+    total = base.count()
+    owner_bits = max(partitions(spark) - 1, total // OWNER_ROWS).bit_length()
     sent = write_table(base.select("uid", "fp").mapInArrow(_send(owner_bits), SENT), "exact-sent")
     bitmaps = sent.select("owner", "sender", "n", "k", "quotients", "remainders").groupBy("owner").applyInArrow(_answer, "owner int, sender long, bitmap binary")
     marked = sent.select("owner", "sender", "n", "again", "counts", "uids").join(bitmaps, ["owner", "sender"]).mapInArrow(_suspects, "uid long")
@@ -133,9 +136,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = rows.join(ids, F.col("id").eqNullSafe(F.col("suspect")), "left_semi").groupBy(digest, "text").agg(F.lit(1).alias("one"))
     verified = texts.groupBy("sha").agg(F.count("one").alias("n_texts"))
     groups = suspects.groupBy("sha").agg(F.max(F.struct("id", "uid")).alias("keep"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    sound = F.when(F.col("n_texts") == 1, F.col("keep")).otherwise(F.raise_error(F.lit("texts of one SHA-256 differ")).cast("struct<id:long,uid:long>"))
-    groups = groups.join(verified, "sha").select("sha", sound.alias("keep"), "size")
-    return base.join(groups, "sha", "left").select(
+    sound = F.when(F.col("n_texts") == 1, F.col("keep")).otherwise(F.raise_error(F.lit("texts of one SHA-256 differ")).cast(f"struct<id:{kind},uid:long>"))
+    groups = write_table(groups.join(verified, "sha").select("sha", sound.alias("keep"), "size"), "exact-groups")
+    return hot_join(base.drop("fp"), groups, "sha", "size", total, "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
