@@ -8,7 +8,7 @@ worker, filled by encoding the misses with the tokenizer. No pre-token is ever s
 
 A text that holds the string of a special token goes to the tokenizer whole, since it is cut there.
 
-Cases: a null or empty text has 0 bytes and 0 tokens; repeated rows and null ids give a row each;
+Cases: ids may be of any type; a null or empty text has 0 bytes and 0 tokens; repeated rows and null ids give a row each;
 other columns are never read; an empty table gives an empty result.
 """
 
@@ -16,12 +16,15 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import ship
 from .text import slices
 
 #: Rows at most, on average, that the frequent table is learned from, and pre-tokens it holds.
@@ -66,19 +69,21 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(counts) > 4 * TABLE_ENTRIES:
             counts = Counter(dict(counts.most_common(TABLE_ENTRIES)))
     top = counts.most_common(TABLE_ENTRIES)
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
+    if top:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
 
 def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
     """The frequent table: TABLE_ENTRIES pre-tokens at most, out of about SAMPLE_ROWS rows."""
     n = docs.count()
-    some = docs.select("text").sample(fraction=min(1.0, SAMPLE_ROWS / max(n, 1)), seed=1).coalesce(4)
+    if load(path)["whole"]:
+        return {}
+    some = docs.select("text").sample(fraction=min(1.0, SAMPLE_ROWS / max(n, 1)), seed=1)
     counts: Counter = Counter()
-    for row in some.mapInArrow(_frequent, "piece string, n long").collect():  # bounded: 4 x TABLE_ENTRIES
+    for row in some.mapInArrow(_frequent, "piece string, n long").toLocalIterator():  # bounded by the sample, whatever the tasks
         counts[row.piece] += row.n
-    pieces = [x for x, _ in counts.most_common(TABLE_ENTRIES)]
-    tool = load(path)
-    return {} if tool["whole"] or not pieces else dict(zip(pieces, tool["encode"](pieces)))
+    pieces = sorted(x for x, _ in counts.most_common(TABLE_ENTRIES))
+    return dict(zip(pieces, load(path)["encode"](pieces))) if pieces else {}
 
 
 def _count(path: str, table):
@@ -86,7 +91,8 @@ def _count(path: str, table):
         tool = load(path)
         encode, special = tool["encode"], tool["special"]
         if tool["frequent"] != table.value.get("key"):
-            tool["cache"], tool["frequent"] = dict(table.value["lengths"]), table.value["key"]
+            tool["table"] = dict(zip(table.value["pieces"].to_pylist(), table.value["lengths"].tolist()))
+            tool["cache"], tool["frequent"] = dict(tool["table"]), table.value["key"]
         for batch in slices(batches, "text"):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             counts = []
@@ -102,9 +108,9 @@ def _count(path: str, table):
                     own = cache
                     misses = [x for x in set(pieces) if x not in cache]
                     if misses:
-                        if len(cache) + len(misses) > CACHE_ENTRIES + len(table.value["lengths"]):
+                        if len(cache) + len(misses) > CACHE_ENTRIES + len(tool["table"]):
                             cache.clear()
-                            cache.update(table.value["lengths"])
+                            cache.update(tool["table"])
                             misses = [x for x in set(pieces) if x not in cache]
                         found = dict(zip(misses, encode(misses)))
                         cache.update((x, n) for x, n in found.items() if len(x) <= CACHE_CHARS)
@@ -118,8 +124,10 @@ def _count(path: str, table):
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_bytes (UTF-8), n_tokens, over_limit. tokenizer: a file's path."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spark = ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     lengths = frequent_lengths(rows, tokenizer)
-    table = docs.sparkSession.sparkContext.broadcast({"key": f"{tokenizer}:{len(lengths)}:{id(lengths)}", "lengths": lengths})
+    # Two arrays, the strings side by side in one buffer; each worker makes its lookup of them.
+    table = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "pieces": pa.array(lengths, pa.string()), "lengths": np.fromiter(lengths.values(), np.int32, len(lengths))})
     out = rows.mapInArrow(_count(tokenizer, table), f"id {dict(rows.dtypes)['id']}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
