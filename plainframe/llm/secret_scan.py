@@ -7,11 +7,13 @@ repositories it stands. A value in WIDE_OWNERS owners or WIDE_REPOS repositories
 example that people copy; one that few own and whose characters look random is taken to be live.
 Base matches are always reported, further kinds only where they are live.
 
-The counts are summed in two steps, by value and owner and then by value, with partial sums on the
-map side, so a value in a third of all rows costs a row per task. Only matches are ever shuffled.
+The counts are summed by value, owner and repository, then by value and owner, then by value, with partial sums on the
+map side, so a value in a third of all rows costs a row per task. Values that hold more than a
+thousandth of all matches are few, and their counts go to every task, so that no task gets all matches of one.
+Only matches are ever shuffled.
 
 Cases: a null text counts as empty; null owners and repositories count as one of their own;
-repeated rows and null ids give a row each; other columns are never read; an empty table gives an
+repeated rows and null ids give a row each; ids may be of any type; other columns are never read; an empty table gives an
 empty result.
 """
 
@@ -27,13 +29,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import write_table
+from .shared import hot_join, ship, write_table
 from .text import slices
 
 #: A value that stands in as many owners or repositories is an example.
 WIDE_OWNERS, WIDE_REPOS = 3, 20
-#: Texts with live secrets whose spans are broadcast at most; beyond, texts and spans are joined by id.
-BROADCAST_ROWS = 50_000
+#: Live spans and texts that have them that are broadcast at most, some 60 bytes each; beyond, texts and spans are joined by id.
+BROADCAST_SPANS = 200_000
 #: Bits of entropy a character that a live-looking value has at least.
 LIVE_BITS = 2.5
 #: The base patterns, in the order in which kinds are listed.
@@ -44,9 +46,9 @@ BASE = {
 }
 FURTHER = {
     "pem": re.compile(
-        r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"
-        r"(?:((?:(?!-----).)*)-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----"  # up to its END, or else while lines are base64
-        r"|((?:\s*(?:\\[rn])*[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=]))*(?:\s*(?:\\[rn])*[A-Za-z0-9+/]+={1,2}(?![A-Za-z0-9+/=]))?))",
+        r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+        r"(?:((?:(?!-----).)*)-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"  # up to its END, or else headers and what lines are base64
+        r"|((?:(?:\s|\\[rn])*[A-Z][A-Za-z-]+: [^\n\\]*)*(?:(?:\s|\\[rn])*[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=]))*(?:(?:\s|\\[rn])*[A-Za-z0-9+/]+={1,2}(?![A-Za-z0-9+/=]))?))",
         re.S,
     ),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -112,15 +114,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def secret_scan(docs: DataFrame, owner_col: str, repo_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_assign, n_access, n_hex, base_sha256, spans (all reported, joined), found (array of start, kind, end, n_owners, n_repos, live)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.xxhash64(F.col(owner_col)).alias("owner"), F.xxhash64(F.col(repo_col)).alias("repo"), F.col(text_col).alias("text"))
+    ship(docs.sparkSession)
+    of = lambda c: F.col(f"`{c}`")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), of(id_col).alias("id"), F.xxhash64(of(owner_col)).alias("owner"), F.xxhash64(of(repo_col)).alias("repo"), of(text_col).alias("text"))
     schema = f"uid long, id {dict(rows.dtypes)['id']}, owner long, repo long, n_assign long, n_access long, n_hex long, base_sha256 string, found {FOUND}"
     scanned = write_table(rows.mapInArrow(_scan, schema), "secrets")
     each = scanned.filter(F.size("found") > 0).select("uid", "owner", "repo", F.explode("found").alias("x")).select("uid", "owner", "repo", "x.*")
-    # A repository stands once for a value and owner: distinct rows first, then sums, both with partial sums.
-    by_owner = each.select("value", "owner", "repo").distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
-    owned = by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
+    # A repository stands once for a value and owner: its rows first, then sums, all with partial sums.
+    by_repo = each.groupBy("value", "owner", "repo").agg(F.count(F.lit(1)).alias("n_rows"))
+    by_owner = by_repo.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"), F.sum("n_rows").alias("n_rows"))
+    owned = write_table(by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"), F.sum("n_rows").alias("n_rows")), "secrets-owned")
     live = F.col("random") & (F.col("n_owners") < WIDE_OWNERS) & (F.col("n_repos") < WIDE_REPOS)
-    judged = each.join(owned, "value").select("uid", F.struct("start", "kind", "end", "n_owners", "n_repos", live.alias("live")).alias("x")).filter((F.col("x.kind") < len(BASE)) | F.col("x.live"))
+    total = owned.agg(F.sum("n_rows").alias("n")).first().n or 0
+    judged = hot_join(each, owned, "value", "n_rows", total).select("uid", F.struct("start", "kind", "end", "n_owners", "n_repos", live.alias("live")).alias("x")).filter((F.col("x.kind") < len(BASE)) | F.col("x.live"))
     spans = judged.groupBy("uid").agg(F.array_sort(F.collect_list("x")).alias("spans"))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -134,7 +140,7 @@ def redact(docs: DataFrame, owner_col: str, repo_col: str, id_col: str = "doc_id
     scan = secret_scan(keyed.select(id_col, owner_col, repo_col, text_col, F.struct("_pf_null", "_pf_id", "_pf_print").alias("_pf_key")), owner_col, repo_col, "_pf_key", text_col)
     live = scan.select("_pf_key.*", F.filter("found", lambda x: x["live"]).alias("_pf_spans")).filter(F.size("_pf_spans") > 0)
     live = write_table(live.dropDuplicates(["_pf_null", "_pf_id", "_pf_print"]), "secrets-live")
-    if live.count() <= BROADCAST_ROWS:  # then texts need no shuffle
+    if (live.agg(F.sum(F.size("_pf_spans") + 1).alias("n")).first().n or 0) <= BROADCAST_SPANS:  # then texts need no shuffle
         live = F.broadcast(live)
     names, text = F.array(*map(F.lit, KINDS)), F.col(text_col)
 
