@@ -27,6 +27,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import let
+
 #: Labelled rows that the rules are learned from at most.
 TRAIN_ROWS = 20_000
 #: Rules and conditions at most, thresholds tried for each statistic, rows and precision a rule needs on rows it did not grow on.
@@ -34,11 +36,6 @@ RULES, CONDITIONS, CUTS, LEAST_ROWS, PRECISION = 12, 3, 40, 8, 0.85
 PLACE_BITS = 26
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, value being computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _repeated(w: Column) -> Column:
     """Words of the array w that stand in windows of three found twice or more."""
     n, top = F.size(w), (1 << PLACE_BITS) - 1
@@ -84,45 +81,49 @@ def _repeated(w: Column) -> Column:
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the text, with struct _pf: counts of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    white = " \t\n\u000b\f\r"
-    without = lambda chars: F.length(F.translate("_pf_text", chars, "")).cast("long")
-    has_word = lambda x: F.length(F.translate(x, white, "")) > 0
-    lines = F.filter(F.split("_pf_text", "\n"), has_word)
+    white = F.lit(" \t\n\u000b\f\r")
+    lines = F.filter(F.split("_pf_text", "\n"), lambda x: F.ltrim(x, white) != "")
     words = F.filter(F.split("_pf_text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
-    total = F.length("_pf_text").cast("long")
+    of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
     def of_words(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), _repeated(w).alias("n_repeat_words"))
-
-    counts = F.struct(
-        total.alias("n_chars"),
-        without(white).alias("word_chars"),
-        (total - without("#*$%&|<>")).alias("n_symbols"),
-        (total - without("|")).alias("n_bars"),
-        (total - without("0123456789")).alias("n_digits"),
-        (total - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("n_capitals"),
-        (total - without(".,;:!?")).alias("n_stops"),
-        (total - without("!")).alias("n_shouts"),
-        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("lines"),
-        let(words, of_words).alias("words"),
-    )
+        # What is neither white nor a-z is little, and is looked through again and again.
+        bare = F.array_join(w, "")
+        return let(F.translate(bare, "abcdefghijklmnopqrstuvwxyz", ""), lambda rest: of_rest(w, bare, rest))
+
+    def of_rest(w: Column, bare: Column, rest: Column) -> Column:
+        those = lambda chars: (F.length(rest) - F.length(F.translate(rest, chars, ""))).cast("long")
+        return F.struct(
+            F.length(bare).cast("long").alias("word_chars"),
+            those("#*$%&|<>").alias("n_symbols"),
+            those("|").alias("n_bars"),
+            those("0123456789").alias("n_digits"),
+            those("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
+            those(".,;:!?").alias("n_stops"),
+            those("!").alias("n_shouts"),
+            F.size(w).cast("long").alias("n_words"),
+            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            _repeated(w).alias("n_repeat_words"),
+        )
+
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    counts = F.struct(let(lines, of_lines).alias("lines"), let(words, of_words).alias("words"))
     return docs.select(*kept, text.alias("_pf_text")).select(*kept, counts.alias("_pf"))
 
 
 def features() -> dict[str, Column]:
     """What rules may test: ratios of the counts in _pf."""
     c = lambda name: F.col(f"_pf.{name}").cast("double")
-    chars, words = F.greatest(c("word_chars"), F.lit(1.0)), F.greatest(c("words.n_words"), F.lit(1.0))
+    chars, words = F.greatest(c("words.word_chars"), F.lit(1.0)), F.greatest(c("words.n_words"), F.lit(1.0))
     return {
         "n_words": c("words.n_words"),
-        "word_length": c("word_chars") / words,
-        "symbols": c("n_symbols") / chars,
-        "bars": c("n_bars") / chars,
-        "digits": c("n_digits") / chars,
-        "capitals": c("n_capitals") / chars,
-        "stops": c("n_stops") / chars,
-        "shouts": c("n_shouts") / chars,
+        "word_length": c("words.word_chars") / words,
+        "symbols": c("words.n_symbols") / chars,
+        "bars": c("words.n_bars") / chars,
+        "digits": c("words.n_digits") / chars,
+        "capitals": c("words.n_capitals") / chars,
+        "stops": c("words.n_stops") / chars,
+        "shouts": c("words.n_shouts") / chars,
         "dup_lines": c("lines.n_dup_lines") / F.greatest(c("lines.n_lines"), F.lit(1.0)),
         "words_a_line": c("words.n_words") / F.greatest(c("lines.n_lines"), F.lit(1.0)),
         "distinct": c("words.n_distinct") / words,
@@ -201,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """The decision list, from the statistics of at most TRAIN_ROWS labelled rows (label 0: low quality)."""
     some = labels.select(F.col(id_col).alias("_pf_id"), F.col(label_col).alias("_pf_label")).dropna().distinct().orderBy(F.xxhash64("_pf_id"), "_pf_id", "_pf_label").limit(TRAIN_ROWS)
     # Bounded by TRAIN_ROWS rows of two numbers, so every task can have them.
-    rows = docs.select(F.col(id_col).alias("_pf_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_pf_id")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_pf_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(some), "_pf_id")
     of = features()
     names = list(of)
     fold = (F.pmod(F.xxhash64("_pf_id", F.lit("fold")), F.lit(3)) == 0).alias("fold")
@@ -216,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 def quality_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule (place of the rule that holds, from 1)."""
-    stats = statistics(docs.select(F.col(id_col).alias("_pf_id"), F.col(text_col).alias("text")))
+    stats = statistics(docs.select(F.col(f"`{id_col}`").alias("_pf_id"), F.col(f"`{text_col}`").alias("text")))
     of = features()
     n_words, again = F.col("_pf.words.n_words"), F.col("_pf.words.n_repeat_words")
     failed = (n_words < 50) | (100 * again > 50 * n_words)
@@ -226,8 +227,8 @@ def quality_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", te
     return stats.select(
         F.col("_pf_id").alias(id_col),
         n_words.alias("n_words"),
-        F.col("_pf.word_chars").alias("word_chars"),
-        F.col("_pf.n_symbols").alias("n_symbols"),
+        F.col("_pf.words.word_chars").alias("word_chars"),
+        F.col("_pf.words.n_symbols").alias("n_symbols"),
         F.col("_pf.lines.n_dup_lines").alias("n_dup_lines"),
         again.alias("n_repeat_words"),
         failed.alias("base_failed"),
