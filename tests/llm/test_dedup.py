@@ -87,10 +87,12 @@ def chain(seed, n, words, change):
     return out
 
 
-@pytest.mark.parametrize("exhaust", [0, 50])
-def test_near_follows_chains_and_clusters(spark, monkeypatch, exhaust):
-    monkeypatch.setattr(near_dedup, "EXHAUST", exhaust)
-    texts = chain(1, 40, 120, 3) + chain(2, 30, 60, 2) + chain(3, 20, 200, 9) + [prose(4, 100)] * 30 + [prose(100 + i, 80) for i in range(30)]
+@pytest.mark.parametrize("finish", [0, near_dedup.FINISH])
+def test_near_follows_chains_and_clusters(spark, monkeypatch, finish):
+    monkeypatch.setattr(near_dedup, "FINISH", finish)
+    monkeypatch.setattr(near_dedup, "STAR", 5)
+    long, short = (40, 30) if finish else (12, 9)  # with centres alone, a round for each text of a chain
+    texts = chain(1, long, 120, 3) + chain(2, short, 60, 2) + chain(3, 20, 200, 9) + [prose(4, 100)] * 30 + [prose(100 + i, 80) for i in range(30)]
     rows = [row((i * 37) % 1000, t) for i, t in enumerate(texts)]
     got = near_dedup.near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(5), shingle=4).collect()
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == linked(rows, 4)[0]
@@ -138,18 +140,41 @@ def test_substring(odd, odd_rows, monkeypatch, batches, runs):
     assert sorted(str(tuple(r)) for r in got) == brute_substring(odd_rows)
 
 
-def test_substring_index_over_batches_and_compaction(spark):
+def test_substring_index_over_batches_and_compaction(spark, tmp_path):
     texts = [prose(1, 50), prose(2, 40) + " " + prose(1, 50), prose(3, 30), prose(3, 30) + " tail " + prose(2, 40)]
-    index = substring_dedup.FingerprintIndex(spark, owner_bits=2)
-    seen = []
+    seen, path = [], (tmp_path / "index").as_uri()
     for i, t in enumerate(texts):
+        index = substring_dedup.FingerprintIndex(spark, path, runs=4)  # opened anew for every batch
         batch = spark.createDataFrame([(i, 0, t)], "id long, print long, text string")
         seen.append(sorted({int(p) for r in index.places(index.add(batch)).collect() for p in substring_dedup.from_planes(r.data, np.uint32)}))
         if i == 1:
-            before = len(index.runs)
-            index.compact()
-            assert (before, len(index.runs)) == (2, 1)
+            before, bits = len(index.state["runs"]), index.state["owner_bits"]
+            index.compact(bits + 2)
+            assert (before, len(index.state["runs"]), index.state["owner_bits"]) == (2, 1, bits + 2)
     assert [len(x) for x in seen] == [0, 38, 0, 18 + 28]
+    left = sorted(x.name for x in (tmp_path / "index").iterdir() if not x.name.startswith("."))
+    assert len([x for x in left if x.startswith("run-")]) == 3 and [x for x in left if x.startswith("manifest-")] == [f"manifest-{index.version}"]
+    with pytest.raises(ValueError, match="13 words"):
+        substring_dedup.FingerprintIndex(spark, path, window=5)
+
+
+def test_a_batch_in_a_new_session_meets_the_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "OWNER_WINDOWS", 20)  # so that owners are split as the index grows
+    path = (tmp_path / "index").as_uri()
+    first = [row(i, prose(i, 60)) for i in range(30)]
+    later = [row(100 + i, prose(i, 60) if i % 3 == 0 else prose(500 + i, 60)) for i in range(30)]
+    for session, rows in ((spark, first), (spark.newSession(), later)):
+        index = substring_dedup.FingerprintIndex(session, path)
+        got = substring_dedup.substring_dedup(session.createDataFrame(rows, SCHEMA), index=index).collect()
+    assert sorted(str(tuple(r)) for r in got) == [x for x in brute_substring(first + later) if int(x[1:].split(",")[0]) >= 100]
+
+
+def test_compaction_runs_in_the_query(odd, monkeypatch):
+    done = []
+    compact = substring_dedup.FingerprintIndex.compact
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", lambda self, *a: (compact(self, *a), done.append(len(self.state["runs"]))))
+    substring_dedup.substring_dedup(odd).collect()
+    assert done and done[-1] == 1
 
 
 def test_planes_round_trip():
@@ -189,10 +214,10 @@ def test_small_hosts_go_by_the_ratio(spark):
 def test_lines_agree_with_the_sql_where_lines_are_dropped(spark):
     import duckdb
 
-    df = spark.createDataFrame([row(i, f"All rights reserved\n{prose(i, 12)}", f"s{i % 2}") for i in range(60)], SCHEMA)
+    df = spark.createDataFrame([row(i, f"All rights reserved\n{prose(i, 12)}", f"s{i % 2}" if i < 50 else f"small{i % 5}") for i in range(60)], SCHEMA)
     con = duckdb.connect()
     con.register("documents", df.toPandas())
-    got = line_dedup.line_dedup(df, "source", min_pages=20, report=True)
+    got = line_dedup.line_dedup(df, "source", report=True)
     assert got.filter("n_dropped = 1").count() == 60
     assert sorted(map(str, con.execute(line_dedup.ORACLE).fetchall())) == sorted(str(tuple(r)) for r in got.select("doc_id", "text", "n_lines", "n_dropped").collect())
 

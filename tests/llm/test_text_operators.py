@@ -36,7 +36,7 @@ def test_token_counts_with_a_small_cache(odd, odd_rows, monkeypatch):
     monkeypatch.setattr(token_counts, "CACHE_CHARS", 4)
 
     class Table:
-        value = {"key": "test", "lengths": {" the": 1}}
+        value = {"key": "test", "pieces": pa.array([" the"]), "lengths": np.array([1])}
 
     batch = pa.RecordBatch.from_pydict({"id": [1] * len(odd_rows), "text": [x for _, x in text_of(odd_rows)]})
     got = [n for b in token_counts._count(BYTES, Table)(iter([batch])) for n in b.column("n_tokens").to_pylist()]
@@ -139,9 +139,10 @@ def test_units_have_the_ids_of_the_whole_text(x):
     assert packing.token_ids(WORDS, pa.array([x]))[0].tolist() == [*model.encode(x, add_special_tokens=False).ids, 0]
 
 
-def test_packing(odd, odd_rows):
-    got = packing.pack(odd, WORDS, capacity=256, with_ids=True).collect()
-    t = Tokenizer.from_file(WORDS)
+@pytest.mark.parametrize("tokenizer", [WORDS, BYTES])
+def test_packing(odd, odd_rows, tokenizer):
+    got = packing.pack(odd, tokenizer, capacity=256, with_ids=True).collect()
+    t = Tokenizer.from_file(tokenizer)
     expected = []
     for i, x in text_of(odd_rows):
         ids = [*t.encode(x, add_special_tokens=False).ids, 0]
@@ -213,9 +214,9 @@ def test_secrets(spark, odd_rows):
     assert {s.split(":")[0] for s in of[209].spans.split(",")} == {"url", "pem"} and "jwt:0:" in of[210].spans and "opaque:7:31" in of[211].spans
 
 
-@pytest.mark.parametrize("broadcast", [50_000, -1])
+@pytest.mark.parametrize("broadcast", [200_000, -1])
 def test_redaction_takes_live_ones_only(spark, odd_rows, monkeypatch, broadcast):
-    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(secret_scan, "BROADCAST_SPANS", broadcast)
     rows = odd_rows + [row(200 + i, t, f"o{i}") for i, t in enumerate(SECRETS)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = secret_scan.redact(df, "source", "doc_id")
@@ -241,6 +242,48 @@ def test_private_keys_that_share_a_prefix_are_different_values(spark):
     assert {r.text for r in secret_scan.redact(spark.createDataFrame(copied, SCHEMA), "source", "doc_id").filter("not text like '%BEGIN%'").collect()} == set()
 
 
+@pytest.mark.parametrize("kind", ["", "RSA ", "EC ", "DSA ", "ENCRYPTED ", "OPENSSH ", "PGP "])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n", "\\n", ""])
+@pytest.mark.parametrize("ended", [True, False])
+def test_nothing_of_a_private_key_is_left(kind, line_end, ended):
+    import base64
+    import random
+
+    body = base64.b64encode(random.Random(1).randbytes(500)).decode()
+    block = " BLOCK" if kind == "PGP " else ""
+    headers = f"Proc-Type: 4,ENCRYPTED{line_end}DEK-Info: AES-128-CBC,00AA{line_end}{line_end}" if kind == "RSA " and line_end != "" else ""
+    lines = line_end.join(body[j : j + 64] for j in range(0, len(body), 64))
+    key = f"-----BEGIN {kind}PRIVATE KEY{block}-----{line_end}{headers}{lines}" + (f"{line_end}-----END {kind}PRIVATE KEY{block}-----" if ended else "")
+    text = f"before {key} after"
+    (a, _, b, value), *more = [x for x in secret_scan.find(text)[1] if x[1] == 3]
+    assert not more and text[:a] == "before " and text[b:] == " after" and body in value
+
+
+def test_ownership_against_brute_force(spark):
+    """Owners, repositories and verdicts of every value, in a corpus where one value is in a third of all rows."""
+    r = __import__("random").Random(7)
+    values = ["".join(r.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=24)) for _ in range(40)] + ["aaaaaaaaaaaaaaaa"]
+    texts = []
+    for i in range(400):
+        own = [values[0]] if i % 3 == 0 else []
+        own += [values[1 + (i % 37)]] if i % 5 == 0 else [values[r.randrange(41)]] if i % 7 == 0 else []
+        texts.append(" and ".join(f"token={v}" for v in own) + (" deadbeefdeadbeef" if i % 50 == 0 else "") + f" text {i}")
+    rows = [row(i % 390, t, None if i % 11 == 0 else f"o{i % 9}") for i, t in enumerate(texts)]
+    owners, repos = defaultdict(set), defaultdict(set)
+    for x in rows:
+        for _, k, _, v in sum(secret_scan.find(x[1]), []):
+            owners[v].add(x[3])
+            repos[v].add((x[3], x[0]))
+    expected = []
+    for x in rows:
+        base, more = secret_scan.find(x[1])
+        judged = [(k, a, b, len(owners[v]), len(repos[v]), secret_scan.entropy(v) >= secret_scan.LIVE_BITS and len(owners[v]) < secret_scan.WIDE_OWNERS and len(repos[v]) < secret_scan.WIDE_REPOS) for a, k, b, v in sorted(base + more)]
+        expected.append(str((x[0], [y for y in judged if y[0] < 3 or y[5]])))
+    got = secret_scan.secret_scan(spark.createDataFrame(rows, SCHEMA).repartition(5), "source", "doc_id").collect()
+    assert sorted(str((g.doc_id, [(y.kind, y.start, y.end, y.n_owners, y.n_repos, y.live) for y in g.found])) for g in got) == sorted(expected)
+    assert len({y.live for g in got for y in g.found}) == 2
+
+
 def test_long_tokens_and_passwords_are_found():
     token = "sk9Lq2Zt7Xw4Vb8Nm1Pc6Rd3" * 7
     late = "aBcDeFgHiJkLmNoPqRsTuVwXyZ" * 2 + "12"
