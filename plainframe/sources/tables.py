@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
@@ -38,16 +41,54 @@ def as_dataframe(t: Any, spark: SparkSession) -> DataFrame:
     return df.withColumns({n: F.when(~F.isnan(quoted(n)), quoted(n)) for n in floats}) if floats else df
 
 
-def example_table(name: str, text: Iterable[str] = (), start: str | Path = ".", spark: SparkSession | None = None) -> DataFrame:
-    """data/<name>.csv of this folder or the nearest above it. text: columns to read as they are written."""
-    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+#: What a table's name may hold: it is a name and no path.
+NAME = re.compile(r"[A-Za-z0-9_-]+")
+
+
+def _above(name: str, start: str | Path) -> Path | None:
+    """data/<name>.csv of this folder or the nearest above it; folders that may not be read are passed over."""
     for folder in (p := Path(start).resolve(), *p.parents):
         path = folder / "data" / f"{name}.csv"
-        if path.exists():
-            df = spark.read.csv(f"file://{path}", header=True, inferSchema=True, nullValue="NA")
-            if text:
-                plain = spark.read.csv(f"file://{path}", header=True, nullValue="NA")
-                kinds = {c: "string" if c in set(text) else t for c, t in df.dtypes}
-                df = plain.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in plain.columns))
-            return df
-    raise PlainError(f"there is no data/{name}.csv here or above")
+        try:
+            if path.is_file():
+                return path
+        except OSError:
+            continue
+    return None
+
+
+def _fetched(address: str, name: str) -> Path:
+    """A copy of <address>/<name>.csv in this process's folder for temporary files."""
+    from urllib.error import URLError
+    from urllib.request import urlopen
+
+    source = f"{address.rstrip('/')}/{name}.csv"
+    try:
+        with urlopen(source, timeout=30) as got:
+            data = got.read()
+    except (URLError, OSError) as e:
+        raise PlainError(f"there is no data/{name}.csv here or above, and {source} can't be read: {e}") from None
+    path = Path(tempfile.mkdtemp(prefix="plainframe-")) / f"{name}.csv"
+    path.write_bytes(data)
+    return path
+
+
+def example_table(name: str, text: Iterable[str] = (), start: str | Path = ".", spark: SparkSession | None = None, address: str | None = None) -> DataFrame:
+    """data/<name>.csv of this folder or the nearest above it, or else <address>/<name>.csv.
+
+    text: columns to read as they are written. address: where tables that are not here are
+    published; PLAINFRAME_TABLES names it where no address is given. The file is read on the driver, so
+    this is for example tables only; data in a store is read by spark.read.
+    """
+    if not isinstance(name, str) or not NAME.fullmatch(name):
+        raise PlainError(f"{name!r} is no table name: letters, digits, _ and - make one, and it is neither a path nor a file name")
+    import pyarrow as pa
+    from pyarrow import csv
+
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    address, path = address or os.environ.get("PLAINFRAME_TABLES"), _above(name, start)
+    if path is None and not address:
+        raise PlainError(f"there is no data/{name}.csv here or above")
+    path = path or _fetched(address, name)
+    options = csv.ConvertOptions(null_values=["NA", ""], strings_can_be_null=True, column_types={c: pa.string() for c in text})
+    return spark.createDataFrame(csv.read_csv(path, convert_options=options))
