@@ -119,6 +119,13 @@ def aggregate(e: N.Call, arg: Callable[[N.Node], Column], order: list[Key], rank
     return F.when(F.count(x) > 0, F.array_join(texts, sep))
 
 
+def reach(e: N.Call) -> int:
+    """How many rows back or ahead a window function looks."""
+    if e.name in ("previous", "following"):
+        return e.args[1].value if len(e.args) == 2 else 1
+    return e.args[1].value - 1 if len(e.args) == 2 else 0
+
+
 def window(e: N.Call, arg: Callable[[N.Node], Column], by: list[Column], order: list[Key]) -> Column:
     """A window function: by partitions, order is the rows' order."""
     over = Window.partitionBy(*by) if by else Window.partitionBy()
@@ -126,14 +133,13 @@ def window(e: N.Call, arg: Callable[[N.Node], Column], by: list[Column], order:
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if e.name == "rank":
         c = arg(e.args[0])
-        return F.rank().over(over.orderBy(c.desc_nulls_last() if e.descending else c.asc_nulls_last()))
+        return F.rank().over(over.orderBy(c.desc_nulls_last() if e.descending else c.asc_nulls_last())).cast("bigint")
     if e.name == "row_number":
-        return F.row_number().over(ordered)
+        return F.row_number().over(ordered).cast("bigint")
     if e.name == "running_total":
         return F.sum(arg(e.args[0])).over(upto)
     if e.name in ("previous", "following"):
-        n = e.args[1].value if len(e.args) == 2 else 1
-        return (F.lag if e.name == "previous" else F.lead)(arg(e.args[0]), n).over(ordered)
+        return (F.lag if e.name == "previous" else F.lead)(arg(e.args[0]), reach(e)).over(ordered)
     if e.name == "latest":
         return F.last(arg(e.args[0]), ignorenulls=True).over(upto)
     agg, n = e.args

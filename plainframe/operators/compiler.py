@@ -16,10 +16,11 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.expressions import Env, aggregate, compile, window
+from ..functions.expressions import Env, aggregate, compile, reach, window
 from ..plans import nodes as N
 from ..plans.checker import Checked, aggregates, children, is_role
-from .global_windows import SPREADABLE, spread, worth_it
+from .global_windows import large, spread, worth_it
+from .medians import medians
 from .ordering import Key, one_way
 
 _counter = itertools.count()
@@ -132,11 +133,12 @@ def _add(frame: Frame, s: N.Add, table) -> Frame:
         frame = replace(frame, df=df)
         held = {c: F.col(names[c]) for c in calls}
     arg = lambda x: compile(x, Env(frame.col))
-    for c in dict.fromkeys(x for v in values for x in N.walk(v) if is_role(x, "window") and x.name in SPREADABLE):
+    for c in dict.fromkeys(x for v in values for x in N.walk(v) if is_role(x, "window")):
         keys = [Key(frame.names[c.args[0].name], c.descending)] if c.name == "rank" else frame.order
         if not by and frame.stable and worth_it(frame.df, keys):
             name = fresh()
-            frame = replace(frame, df=spread(frame.df, c.name, arg(c.args[0]) if c.name == "running_total" else None, keys, name))
+            over = lambda parts, order, c=c, arg=arg: window(c, arg, parts, order)
+            frame = replace(frame, df=spread(frame.df, c.name, arg(c.args[0]) if c.name in ("running_total", "latest") else None, keys, name, reach(c), over))
             held[c] = F.col(name)
     env = Env(frame.col, lambda c: held[c], lambda c: held[c] if c in held else window(c, arg, [F.col(b) for b in by], frame.order))
     new = {v.name: fresh() for v in s.values}
@@ -153,8 +155,21 @@ def _summarize(frame: Frame, s: N.Summarize, table) -> Frame:
     env = Env(frame.col, lambda c: aggregate(c, arg, frame.order, rank))
     names = {n: fresh() for n in [*by, *(v.name for v in s.values)]}
     keys = [frame.col(n).alias(names[n]) for n in by]
-    values = [compile(v.value, env).alias(names[v.name]) for v in s.values]
-    df = frame.df.groupBy(*keys).agg(*values) if by else frame.df.agg(*values)
+    calls = list(dict.fromkeys(c for v in s.values for c in _aggregates(v.value)))
+    if frame.stable and any(c.name == "median" for c in calls) and large(frame.df):
+        held = {c: fresh() for c in calls}
+        own = [aggregate(c, arg, frame.order, rank).alias(held[c]) for c in calls if c.name != "median"]
+        df = frame.df.groupBy(*keys).agg(*own, F.count(F.lit(1)).alias(fresh()))
+        for c in calls:
+            if c.name == "median":
+                middle = medians(frame.df, [frame.names[n] for n in by], arg(c.args[0]), held[c])
+                same = functools.reduce(operator.and_, [F.col(names[n]).eqNullSafe(F.col(f"{held[c]}_{i}")) for i, n in enumerate(by)], F.lit(True))
+                df = df.join(middle if by else F.broadcast(middle), same, "left")
+        env = Env(lambda n: F.col(names[n]), lambda c: F.col(held[c]))
+        df = df.select(*(names[n] for n in by), *(compile(v.value, env).alias(names[v.name]) for v in s.values))
+    else:
+        values = [compile(v.value, env).alias(names[v.name]) for v in s.values]
+        df = frame.df.groupBy(*keys).agg(*values) if by else frame.df.agg(*values)
     out = Frame(df, names, stable=frame.stable)
     return replace(out, order=settled(out, by))
 

@@ -89,7 +89,7 @@ CONDITIONALS = ("when", "look_up")
 UNORDERED = ("rank",)
 #: Aggregates that rolling takes.
 ROLLED = ("total", "average", "median", "smallest", "largest", "standard_deviation")
-# Spellings of other languages and older ones, and what to write here.
+# Spellings of other languages and older ones, and what to write here.
 INSTEAD = {
     "TRUE": "yes", "True": "yes", "true": "yes", "FALSE": "no", "False": "no", "false": "no", "NULL": "missing", "null": "missing",
     "NA": "missing", "None": "missing", "NaN": "missing", "ascending": "nothing: a sort ascends unless `descending` is written",

@@ -66,10 +66,8 @@ def _all() -> dict[str, tuple[str, str]]:
     put("sum_global", "orders then keep where [o_totalprice] < 0 then summarize [n] as row_count(), [x] as largest([o_orderkey])", "SELECT count(*) AS n, max(o_orderkey) AS x FROM orders WHERE o_totalprice < 0")
     put("having", "orders then summarize [n] as row_count() by [o_custkey] then keep where [n] > 10", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10")
     # sort and take
-    put("sort_missing_last", "orders then add [x] as when([o_totalprice] > 300000, [o_totalprice]) then sort [x] descending, [o_orderkey] then take 500 then pick [o_orderkey, x]", "SELECT o_orderkey, x FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS x FROM orders) ORDER BY x DESC NULLS LAST, o_orderkey LIMIT 500")
-    put("sort_missing_first", "orders then add [x] as when([o_totalprice] > 300000, [o_totalprice]) then sort [x], [o_orderkey] missing first then take 500 then pick [o_orderkey, x]", "SELECT o_orderkey, x FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS x FROM orders) ORDER BY x NULLS FIRST, o_orderkey LIMIT 500")
-    put("sort_missing_last_place", "orders then add [x] as when([o_totalprice] > 300000, [o_totalprice]) then sort [x] descending, [o_orderkey] then add [place] as row_number() then pick [o_orderkey, x, place]", "SELECT o_orderkey, x, CAST(row_number() OVER (ORDER BY x DESC NULLS LAST, o_orderkey) AS INTEGER) AS place FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS x FROM orders)")
-    put("sort_missing_first_place", "orders then add [x] as when([o_totalprice] > 300000, [o_totalprice]) then sort [x], [o_orderkey] missing first then add [place] as row_number() then pick [o_orderkey, x, place]", "SELECT o_orderkey, x, CAST(row_number() OVER (ORDER BY x NULLS FIRST, o_orderkey) AS INTEGER) AS place FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS x FROM orders)")
+    put("sort_missing_last", "orders then add [x] as when([o_totalprice] > 300000, [o_totalprice]) then sort [x] descending, [o_orderkey] then add [place] as row_number() then pick [o_orderkey, x, place]", "SELECT o_orderkey, x, row_number() OVER (ORDER BY x DESC NULLS LAST, o_orderkey) AS place FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS x FROM orders)")
+    put("sort_missing_first", "orders then add [x] as when([o_totalprice] > 300000, [o_totalprice]) then sort [x], [o_orderkey] missing first then add [place] as row_number() then pick [o_orderkey, x, place]", "SELECT o_orderkey, x, row_number() OVER (ORDER BY x NULLS FIRST, o_orderkey) AS place FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS x FROM orders)")
     put("sort_dropped_key", "orders then sort [o_totalprice] descending, [o_orderkey] then pick [o_orderkey] then take 20", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
     put("take_n", "orders then sort [o_totalprice] descending, [o_orderkey] then take 25", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
     put("take_by", "orders then sort [o_totalprice] descending, [o_orderkey] then take 3 by [o_custkey]", "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
@@ -85,9 +83,9 @@ def _all() -> dict[str, tuple[str, str]]:
         more = f" then add [x] as {c('[x]')}" if rounded else ""
         put(f"win_{name}", f"events then sort [ts], [event_id] then add [x] as {e} by [user_id]{more} then pick [event_id, x]", f"SELECT event_id, {q('x') if rounded else 'x'} AS x FROM (SELECT event_id, {sql} AS x FROM events)")
 
-    put("win_rank", "orders then add [x] as rank([o_orderdate] descending) by [o_custkey] then pick [o_orderkey, x]", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST) AS INTEGER) AS x FROM orders")
-    put("win_rank_all", "supplier then add [x] as rank([s_nationkey]) then pick [s_suppkey, x]", "SELECT s_suppkey, CAST(rank() OVER (ORDER BY s_nationkey) AS INTEGER) AS x FROM supplier")
-    win("row_number", "row_number()", f"CAST(row_number() OVER ({by}) AS INTEGER)")
+    put("win_rank", "orders then add [x] as rank([o_orderdate] descending) by [o_custkey] then pick [o_orderkey, x]", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST) AS x FROM orders")
+    put("win_rank_all", "supplier then add [x] as rank([s_nationkey]) then pick [s_suppkey, x]", "SELECT s_suppkey, rank() OVER (ORDER BY s_nationkey) AS x FROM supplier")
+    win("row_number", "row_number()", f"row_number() OVER ({by})")
     win("running_total", "running_total([value])", f"sum(value) OVER ({by} ROWS UNBOUNDED PRECEDING)", True)
     win("previous", "previous([value])", f"lag(value) OVER ({by})")
     win("previous_2", "previous([value], 2)", f"lag(value, 2) OVER ({by})")
@@ -105,12 +103,9 @@ def _all() -> dict[str, tuple[str, str]]:
     # rows
     put("add_rows", "supplier then add_rows supplier then summarize [n] as row_count() by [s_nationkey]", "SELECT s_nationkey, CAST(2 * count(*) AS BIGINT) AS n FROM supplier GROUP BY s_nationkey")
     put("drop_duplicates", "orders then pick [o_orderstatus, o_orderpriority] then drop_duplicates", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
-    grid = "SELECT s_nationkey, s_suppkey, NULL AS s_name FROM (SELECT DISTINCT s_nationkey FROM t) CROSS JOIN (SELECT DISTINCT s_suppkey FROM t) WHERE (s_nationkey, s_suppkey) NOT IN (SELECT s_nationkey, s_suppkey FROM t)"
-    put("add_combinations", "supplier then keep where [s_suppkey] < 20 then pick [s_nationkey, s_suppkey, s_name] then add_combinations [s_nationkey, s_suppkey]", f"WITH t AS (SELECT s_nationkey, s_suppkey, s_name FROM supplier WHERE s_suppkey < 20) SELECT * FROM t UNION ALL {grid}")
-    put("add_combinations_by", "orders then keep where [o_custkey] < 40 then pick [o_custkey, o_orderstatus, o_orderpriority, o_orderkey] then add_combinations [o_orderstatus, o_orderpriority] by [o_custkey]", "WITH t AS (SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey FROM orders WHERE o_custkey < 40), g AS (SELECT * FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM t) JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM t) USING (o_custkey)) SELECT * FROM t UNION ALL SELECT o_custkey, o_orderstatus, o_orderpriority, NULL FROM g ANTI JOIN t USING (o_custkey, o_orderstatus, o_orderpriority)")
     every = "SELECT s_nationkey, s_suppkey, NULL AS s_name FROM (SELECT DISTINCT s_nationkey FROM t) CROSS JOIN (SELECT DISTINCT s_suppkey FROM t)"
-    put("add_combinations_whole", "supplier then pick [s_nationkey, s_suppkey, s_name] then add_combinations [s_nationkey, s_suppkey]", f"WITH t AS (SELECT s_nationkey, s_suppkey, s_name FROM supplier) SELECT * FROM t UNION ALL SELECT * FROM ({every}) ANTI JOIN t USING (s_nationkey, s_suppkey)")
-    put("add_combinations_by_whole", "orders then pick [o_custkey, o_orderstatus, o_orderpriority, o_orderkey] then add_combinations [o_orderstatus, o_orderpriority] by [o_custkey]", "WITH t AS (SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey FROM orders), g AS (SELECT * FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM t) JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM t) USING (o_custkey)) SELECT * FROM t UNION ALL SELECT o_custkey, o_orderstatus, o_orderpriority, NULL FROM g ANTI JOIN t USING (o_custkey, o_orderstatus, o_orderpriority)")
+    put("add_combinations", "supplier then pick [s_nationkey, s_suppkey, s_name] then add_combinations [s_nationkey, s_suppkey]", f"WITH t AS (SELECT s_nationkey, s_suppkey, s_name FROM supplier) SELECT * FROM t UNION ALL SELECT * FROM ({every}) ANTI JOIN t USING (s_nationkey, s_suppkey)")
+    put("add_combinations_by", "orders then pick [o_custkey, o_orderstatus, o_orderpriority, o_orderkey] then add_combinations [o_orderstatus, o_orderpriority] by [o_custkey]", "WITH t AS (SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey FROM orders), g AS (SELECT * FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM t) JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM t) USING (o_custkey)) SELECT * FROM t UNION ALL SELECT o_custkey, o_orderstatus, o_orderpriority, NULL FROM g ANTI JOIN t USING (o_custkey, o_orderstatus, o_orderpriority)")
     # columns
     put("rename", "region then rename [key] as [r_regionkey], [label] as [r_name]", "SELECT r_regionkey AS key, r_name AS label FROM region")
     put("drop_missing", "orders then add [x] as when([o_totalprice] > 100000, 1), [y] as when([o_totalprice] < 300000, 1) then drop_missing [x] then drop_missing then pick [o_orderkey]", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_totalprice < 300000")
@@ -142,7 +137,7 @@ def _all() -> dict[str, tuple[str, str]]:
     put("b3_derive_median", f"lineitem then add [share] as [l_tax] * [l_extendedprice] / [l_quantity] then summarize [x] as {c('median([share])')} by [l_linenumber]", f"SELECT l_linenumber, {q('median(l_tax * l_extendedprice / l_quantity)')} AS x FROM lineitem GROUP BY l_linenumber")
     put("b4_join_group", f"orders then join customer by [o_custkey] is [c_custkey] then summarize [x] as {c('total([o_totalprice])')} by [c_mktsegment]", f"SELECT c_mktsegment, {q('sum(o_totalprice)')} AS x FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
     put("b5_top_per_group", "lineitem then sort [l_extendedprice] descending, [l_orderkey], [l_linenumber] then take 3 by [l_suppkey]", "SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 3")
-    put("b6_capstone", f'lineitem then keep where [l_quantity] > 2 then add [net] as {net} then join supplier by [l_suppkey] is [s_suppkey] then join nation by [s_nationkey] is [n_nationkey] then summarize [net] as {c("total([net])")} by [n_regionkey, n_name] then add [place] as rank([net] descending) by [n_regionkey] then keep where [place] <= 2', f"SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY n_regionkey ORDER BY net DESC NULLS LAST) AS INTEGER) AS place FROM (SELECT n_regionkey, n_name, {q('sum(l_extendedprice * (1 - l_discount))')} AS net FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity > 2 GROUP BY ALL)) WHERE place <= 2")
+    put("b6_capstone", f'lineitem then keep where [l_quantity] > 2 then add [net] as {net} then join supplier by [l_suppkey] is [s_suppkey] then join nation by [s_nationkey] is [n_nationkey] then summarize [net] as {c("total([net])")} by [n_regionkey, n_name] then add [place] as rank([net] descending) by [n_regionkey] then keep where [place] <= 2', f"SELECT * FROM (SELECT *, rank() OVER (PARTITION BY n_regionkey ORDER BY net DESC NULLS LAST) AS place FROM (SELECT n_regionkey, n_name, {q('sum(l_extendedprice * (1 - l_discount))')} AS net FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity > 2 GROUP BY ALL)) WHERE place <= 2")
     return out
 
 

@@ -144,6 +144,47 @@ def test_windows_over_the_whole_table_in_parts(spark, monkeypatch, keys):
     assert out.dtypes == run("x then sort [id] then take 1", x=out).dtypes
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+@pytest.mark.parametrize("keys", ["[name], [id]", "[name] descending, [id] missing first", "[id] descending"])
+def test_windows_that_look_around_in_chunks(spark, monkeypatch, keys, chunk):
+    from plainframe.operators import global_windows
+
+    names = F.when(F.col("id") % 13 != 0, F.concat(F.element_at(F.array(*map(F.lit, ["", "é", "prefix-1", "prefix-2", "Z", "a"])), (F.col("id") % 6 + 1).cast("int")), (F.col("id") % 17).cast("string")))
+    df = spark.range(300).select("id", names.alias("name"), F.when(F.col("id") % 4 != 0, F.col("id")).alias("v")).repartition(5)
+    sentence = (
+        f"x then sort {keys} then add [p] as previous([v]), [p3] as previous([v], 3), [f] as following([v]), [f9] as following([id], 9), [l] as latest([v]),"
+        " [r] as rolling(total([id]), 5), [m] as rolling(average([v]), 2), [n] as row_number() then sort [id]"
+    )
+    plain = rows(sentence, {"x": df})
+    monkeypatch.setattr(global_windows, "LEAST_BYTES", 0)
+    monkeypatch.setattr(global_windows, "CHUNK", chunk)
+    out = run(sentence, x=df)
+    assert [tuple(r) for r in out.collect()] == plain
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "chunk" in plan and dict(out.dtypes)["n"] == "bigint"
+
+
+def test_medians_of_large_tables(spark, monkeypatch):
+    """Sketches of an accuracy far under the rows' number, ties, missing values and keys, one hot group."""
+    from plainframe.operators import global_windows, medians
+
+    v = F.when(F.col("id") % 7 != 0, (F.col("id") * 7919 % 10007) / 10)
+    g = F.when(F.col("id") % 10 < 7, 0).when(F.col("id") % 10 == 7, F.col("id") % 300)
+    df = spark.range(30_000).select("id", v.alias("v"), (F.col("id") % 3).alias("t"), g.alias("g")).repartition(6)
+    sentences = [
+        "x then summarize [m] as median([v]), [t] as median([t]), [n] as row_count() by [g]",
+        "x then summarize [m] as median([v]) + total([t]), [k] as median([id])",
+        "x then keep where [v] is missing then summarize [m] as median([v]) by [t]",
+    ]
+    plain = [rows(s, {"x": df}) for s in sentences]
+    monkeypatch.setattr(global_windows, "LEAST_BYTES", 0)
+    monkeypatch.setattr(medians, "CUTS", (0.48, 0.52))
+    monkeypatch.setattr(medians, "ACCURACY", 100)
+    assert [rows(s, {"x": df}) for s in sentences] == plain
+    plan = run(sentences[0], x=df)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile_approx" in plan and "percentile(" not in plan
+
+
 def test_example_tables_are_found_above(spark, tmp_path):
     from plainframe import example_table
 
@@ -154,6 +195,20 @@ def test_example_tables_are_found_above(spark, tmp_path):
     assert [tuple(r) for r in df.select("code", "n").collect()] == [("007", 1), (None, None)]
     with pytest.raises(PlainError, match="no data/none.csv"):
         example_table("none", start=tmp_path)
+    for name in ("../codes", "a/b", "codes.csv", "", 3):
+        with pytest.raises(PlainError, match="is no table name"):
+            example_table(name, start=tmp_path)
+
+
+def test_example_tables_are_fetched_from_an_address(spark, tmp_path):
+    from plainframe import example_table
+
+    (tmp_path / "published").mkdir()
+    (tmp_path / "published" / "more.csv").write_text("a,b\n1,x\nNA,y\n")
+    address = (tmp_path / "published").as_uri()
+    assert [tuple(r) for r in example_table("more", start=tmp_path, spark=spark, address=address).collect()] == [(1, "x"), (None, "y")]
+    with pytest.raises(PlainError, match="can't be read"):
+        example_table("none", start=tmp_path, spark=spark, address=address)
 
 
 def test_arrow_tables(spark):
