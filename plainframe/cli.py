@@ -60,7 +60,7 @@ def main(args: list[str] | None = None) -> int:
             table, sign, columns = x.partition("=")
             schemas[table if sign else plan.table] = described(columns if sign else x)
         if a.draw:
-            print(ladder.draw(plan, lambda n: lookup(schemas, n), text))
+            print(ladder.draw(ladder.reading(plan, lambda n: lookup(schemas, n), text)))
             return 0
         out = check(plan, lambda n: lookup(schemas, n), text)
         for note in out.assumptions:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from . import nodes as N
 from .checker import Checker, check
@@ -26,42 +27,75 @@ def _note(s: N.Node) -> str:
     return _NOTES.get(type(s), "")
 
 
-def draw(plan: N.Plan, tables: Callable[[str], Schema], text: str = "") -> str:
-    schemas, steps, refused = [], plan.steps, None
+@dataclass
+class Row:
+    """A table as it stands: at the head, or after a step."""
+
+    label: str
+    kept: list[tuple[str, str]] = field(default_factory=list)  # name and kind
+    new: list[tuple[str, str]] = field(default_factory=list)
+    gone: list[str] = field(default_factory=list)
+    note: str = ""
+    other: tuple[str, list[tuple[str, str]]] | None = None  # the table that the step reads
+    refusal: str = ""
+
+
+def _reads(s: N.Node) -> str | None:
+    if isinstance(s, (N.Join, N.AddRows)):
+        return s.table
+    found = [x.table for x in N.walk(s.condition) if isinstance(x, N.Matching)] if isinstance(s, N.Keep) else []
+    return found[0] if found else None
+
+
+def reading(plan: N.Plan, tables: Callable[[str], Schema], text: str = "") -> list[Row]:
+    """The rows of a drawing: all steps, or those before the refused one and that one."""
+    schemas, steps, refused, done = [], plan.steps, None, None
     for k in range(len(plan.steps) + 1):
         try:
-            got = Checker(tables).check(N.Plan(plan.table, plan.steps[:k], plan.span))
+            done = Checker(tables).check(N.Plan(plan.table, plan.steps[:k], plan.span))
         except PlainError as e:
             refused, steps = e.inside(text), plan.steps[:k]
             break
-        schemas.append(got.leaving)
-        done = got
-    labels = [plan.table, *(written(s) for s in (done.plan.steps if schemas else ()))]
-    if refused:
-        labels = [*labels, written(steps[-1])] if steps else labels
-    signs = [""] + ["├ "] * (len(labels) - 2) + ["└ "] * (len(labels) > 1)
-    width = min(44, max(len(s + x) for s, x in zip(signs, labels)))
+        schemas.append(done.leaving)
+    kinds = lambda of: [(n, word(t)) for n, t in of.columns]
+    out = [Row(plan.table, kinds(schemas[0]))] if schemas else [Row(plan.table, refusal=str(refused.args[0]))]
+    for before, now, s in zip(schemas, schemas[1:], done.plan.steps if done else ()):
+        other = _reads(s)
+        out.append(
+            Row(
+                written(s),
+                [x for x in kinds(now) if x[0] in before],
+                [x for x in kinds(now) if x[0] not in before],
+                [n for n in before.names if n not in now],
+                _note(s),
+                (other, kinds(tables(other))) if other else None,
+            )
+        )
+    if refused and schemas:
+        out.append(Row(written(steps[-1]), refusal=str(refused.args[0])))
+    return out
+
+
+def draw(rows: list[Row]) -> str:
+    """The rows as lines of text."""
+    signs = [""] + ["├ "] * (len(rows) - 2) + ["└ "] * (len(rows) > 1)
+    width = min(44, max(len(s + r.label) for s, r in zip(signs, rows)))
     out = []
-    for k, (sign, label) in enumerate(zip(signs, labels)):
+    for k, (sign, r) in enumerate(zip(signs, rows)):
         rail = "│ " if k and sign.startswith("├") else "  "
-        if k >= len(schemas):
-            out += [sign + label, *refused.args[0].split("\n")]
+        if r.refusal:
+            out += [sign + r.label, *r.refusal.split("\n")]
             break
-        now, before = schemas[k], schemas[k - 1] if k else None
-        kept = [n if before else f"{n}:{word(t)}" for n, t in now.columns if before is None or n in before]
-        new = [f"+{n}:{word(t)}" for n, t in now.columns if before and n not in before]
-        gone = [f"-{n}" for n in before.names if n not in now] if before else []
-        cells = "  ".join(kept + new)
-        if len(sign + label) <= width:
-            out.append(f"{(sign + label).ljust(width)}  {cells}".rstrip())
+        cells = "  ".join([n if k else f"{n}:{kind}" for n, kind in r.kept] + [f"+{n}:{kind}" for n, kind in r.new])
+        if len(sign + r.label) <= width:
+            out.append(f"{(sign + r.label).ljust(width)}  {cells}".rstrip())
         else:
-            out += [sign + label, f"{rail.ljust(width)}  {cells}".rstrip()]
-        if gone:
-            out.append(f"{rail.ljust(width)}  {'  '.join(gone)}".rstrip())
-        note = _note(plan.steps[k - 1]) if k else ""
-        if note:
-            out.append(f"{rail}  {note}")
+            out += [sign + r.label, f"{rail.ljust(width)}  {cells}".rstrip()]
+        if r.gone:
+            out.append(f"{rail.ljust(width)}  {'  '.join('-' + n for n in r.gone)}".rstrip())
+        if r.note:
+            out.append(f"{rail}  {r.note}")
     return "\n".join(out)
 
 
-__all__ = ["check", "draw"]
+__all__ = ["Row", "check", "draw", "reading"]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import inspect
 from collections.abc import Mapping
 from typing import Any
 
 from .api import checked, find_tables
-from .plans import dplyr_code, ladder, pandas_code, polars_code, pyspark_code, sql
+from .plans import dplyr_code, ladder, pandas_code, picture, polars_code, pyspark_code, sql
 from .plans.checker import Checked, check
 from .plans.diagnostics import PlainError, hint
 from .plans.parser import parse
@@ -56,10 +57,33 @@ def show_as(pipeline: Pipeline | str, target: str, **tables: Any) -> str:
     return write_as(checked(text, found), target)
 
 
-def show_steps(pipeline: Pipeline | str, **tables: Any) -> str:
-    """The table between steps; a refused pipeline as far as it was understood, then the refusal."""
+class Steps(str):
+    """A drawing: a string that a prompt shows as lines and a notebook as a picture; text and svg give either."""
+
+    rows: list[ladder.Row]
+
+    @property
+    def text(self) -> str:
+        return str(self)
+
+    @functools.cached_property
+    def svg(self) -> str:
+        return picture.svg(self.rows)
+
+    def __repr__(self) -> str:
+        return str(self)
+
+    def _repr_html_(self) -> str:
+        return self.svg
+
+
+def show_steps(pipeline: Pipeline | str, **tables: Any) -> Steps:
+    """The table between steps; a refused pipeline as far as it was understood, then the refusal. Nothing runs."""
     text, found = _plan(pipeline, tables, _scope())
-    return ladder.draw(parse(text), lambda n: Schema.of(found[n].schema), text)
+    rows = ladder.reading(parse(text), lambda n: Schema.of(found[n].schema), text)
+    out = Steps(ladder.draw(rows))
+    out.rows = rows
+    return out
 
 
 def described(columns: Mapping[str, str] | str) -> Schema:

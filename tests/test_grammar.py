@@ -111,6 +111,23 @@ def test_show_steps_of_a_refused_plan(t):
     assert "pick [n, s]" in drawn and "there is no column [zz]" in drawn
 
 
+def test_show_steps_as_a_picture(t):
+    from xml.etree import ElementTree
+
+    drawn = pf.show_steps("t then add [x<y] as [n] * 2 then keep where matching(t, by [n]) then summarize [a] as total([n]) by [s] then take 1", t=t)
+    root = ElementTree.fromstring(drawn.svg)
+    words = [e.text for e in root.iter("{http://www.w3.org/2000/svg}text")]
+    assert drawn._repr_html_() == drawn.svg and repr(drawn) == drawn.text == str(drawn)
+    assert "x<y" in words and words.count("t") == 2 and "one row per group" in words
+    kinds = [e.get("class") for e in root.iter("{http://www.w3.org/2000/svg}rect")]
+    assert {"chip", "new", "gone"} == set(kinds)
+    width = int(root.get("width"))
+    assert all(int(e.get("x")) + int(e.get("width")) <= width for e in root.iter("{http://www.w3.org/2000/svg}rect"))
+    refused = pf.show_steps("t then keep where [zz] > 1", t=t)
+    assert "there is no column [zz]" in refused.svg
+    ElementTree.fromstring(refused.svg)
+
+
 def test_show_as(t):
     assert "ORDER BY" in pf.show_as("t then sort [n]", "sql", t=t)
     assert "orderBy" in pf.show_as("t then sort [n]", "pyspark", t=t)
