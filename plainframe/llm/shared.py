@@ -33,7 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A place in the shared folder for a table of these operators, that goes when the driver ends."""
-    path = f"{shared_dir(spark)}/plainframe-{name}-{uuid.uuid4().hex}"
+    return passing(spark, f"{shared_dir(spark)}/plainframe-{name}-{uuid.uuid4().hex}")
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """path, which goes when the driver ends, or before with the scratch around it."""
     where, files = _place(spark, path)
     files.deleteOnExit(where)
     _made.append(path)
@@ -71,11 +75,27 @@ class Files:
         if not files.rename(draft, where):
             raise OSError(f"{where.toString()} is there already")
 
+    def move(self, name: str, to: str) -> bool:
+        """Whether there was something of that name."""
+        where, files = self._at(name)
+        return files.exists(where) and files.rename(where, self._at(to)[0])
+
     def delete(self, name: str) -> None:
         where, files = self._at(name)
         files.delete(where, True)
 
 
+def save(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Write df as Parquet, in a folder for each value of by if given; its shuffle files go."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+
+
 def write_table(df: DataFrame, name: str, even: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -84,12 +104,7 @@ def write_table(df: DataFrame, name: str, even: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(CLEAN_UP)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        (df.hint("rebalance") if even else df).write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
+    save(df.hint("rebalance") if even else df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plainframe_path = path
     return out

@@ -19,7 +19,8 @@ kept, so 88 bits in all stand for them: at 10^13 windows a wrong agreement has a
 
 A passage in a third of all documents costs an entry per slice, not per document.
 
-A whole table is taken as BATCHES batches in order of id, against an index of its own.
+A whole table is taken in batches in order of id (BATCHES), against an index of its own, which goes
+with the last one.
 
 Cases: a null text has no words; texts shorter than a window keep all. A row without an id is left
 whole, and nothing is removed because of it. Rows of one id remove nothing from each other. Ids may be of
@@ -38,12 +39,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import Files, new_path, partitions, ship, write_table
+from .shared import Files, new_path, partitions, passing, save, ship, write_table
 from .text import hashes, slices, windows, words
 
 WINDOW = 13
-#: Batches that a whole table is taken in, runs kept before they are merged, windows an owner has of a batch and of the index at most, text bytes of a sender's slice.
-BATCHES, RUNS, OWNER_WINDOWS, SEND_BYTES = 3, 1, 4_000_000, 6_000_000
+#: Shares of a whole table's ids at which its batches end.
+BATCHES = (0.25, 0.5, 1.0)
+#: Runs kept before they are merged, windows an owner has of a batch and of the index at most, text bytes of a sender's slice.
+RUNS, OWNER_WINDOWS, SEND_BYTES = 1, 2_000_000, 6_000_000
 #: Bits of a window's hash.
 HASH_BITS = 56
 
@@ -271,7 +274,7 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
+        save(rows, f"{self.path}/{name}")
         return name
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
@@ -286,13 +289,21 @@ class FingerprintIndex:
         buckets = max(BUCKETS, n_windows // BUCKET_PLACES)
         sent = docs.select("id", "print", "text").mapInArrow(_send(bits, self.state["window"]), SENT)
         out = sent.groupBy("owner").cogroup(self._held().groupBy("owner")).applyInArrow(_own(not last, buckets), ANSWER)
-        out = write_table(out, "substring-batch", even=False)
+        name = uuid.uuid4().hex
+        batch = passing(self.spark, f"{self.path}/batch-{name}")
+        save(out.withColumnRenamed("place", "owner"), batch, by="kind")
         if not last:
-            run = self._write(out.filter("kind = 1").select(F.col("place").alias("owner"), "data", "checks"))
-            self._commit(runs=[*self.state["runs"], run], n_windows=self.state["n_windows"] + n_windows)
+            runs = [f"run-{name}"] if self.files.move(f"batch-{name}/kind=1", f"run-{name}") else []
+            self._commit(runs=[*self.state["runs"], *runs], n_windows=self.state["n_windows"] + n_windows)
             if len(self.state["runs"]) > self.most_runs:
                 self.compact()
-        return out.filter("kind = 0").select("place", "ids", "prints", "counts", "data")
+        schema = "owner int, ids binary, prints binary, counts binary, data binary"
+        found = self.spark.read.schema(schema).parquet(f"{batch}/kind=0") if "kind=0" in Files(self.spark, batch).names() else self.spark.createDataFrame([], schema)
+        return found.withColumnRenamed("owner", "place")
+
+    def clear(self) -> None:
+        """An index without runs; answers given so far stay."""
+        self._commit(runs=[], n_windows=0)
 
     @staticmethod
     def places(answers: DataFrame) -> DataFrame:
@@ -333,7 +344,7 @@ def _numbered(keys: DataFrame) -> DataFrame:
     return write_table(ordered.select(F.col("key").alias("key_"), F.monotonically_increasing_id().alias("id")), "substring-ids")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: tuple[float, ...] = BATCHES, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None) -> DataFrame:
     """One row per row: id, n_words, n_removed, kept_text (kept words joined by one space).
 
     index: docs are a new batch for it, later than all that it holds, and stay in it; without one, docs
@@ -353,12 +364,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
     if index:
         answers = index.add(batch)
     else:
-        cuts = sorted(set(rows.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000).alias("cuts")).first().cuts or []) if batches > 1 else [])
+        cuts = sorted(set(rows.agg(F.percentile_approx("id", list(batches[:-1]), 10_000).alias("cuts")).first().cuts or []) if len(batches) > 1 else [])
         own, found = FingerprintIndex(spark, window=window), []
         for low, high in zip([None, *cuts], [*cuts, None]):
             part = batch.filter(F.col("id") > low) if low is not None else batch
             part = part.filter(F.col("id") <= high) if high is not None else part
             found.append(own.add(part, last=high is None))
+        own.clear()
         answers = functools.reduce(DataFrame.union, found)
     gathered = FingerprintIndex.places(answers).select(F.col("id").alias("id_"), F.col("print").alias("print_"), "data")
     joined = rows.join(gathered, (F.col("id") == F.col("id_")) & (F.col("print") == F.col("print_")), "left").select(F.col("key").alias("id"), "text", "data")

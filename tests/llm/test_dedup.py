@@ -132,7 +132,7 @@ def brute_substring(rows, k=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("batches,runs", [(1, 4), (2, 4), (5, 1)])
+@pytest.mark.parametrize("batches,runs", [((1.0,), 4), ((0.5, 1.0), 4), ((0.2, 0.4, 0.6, 0.8, 1.0), 1)])
 def test_substring(odd, odd_rows, monkeypatch, batches, runs):
     monkeypatch.setattr(substring_dedup, "RUNS", runs)
     monkeypatch.setattr(substring_dedup, "SEND_BYTES", 4000)
@@ -169,12 +169,12 @@ def test_a_batch_in_a_new_session_meets_the_index(spark, tmp_path, monkeypatch):
     assert sorted(str(tuple(r)) for r in got) == [x for x in brute_substring(first + later) if int(x[1:].split(",")[0]) >= 100]
 
 
-def test_compaction_runs_in_the_query(odd, monkeypatch):
-    done = []
+def test_compaction_runs_in_the_query(spark, monkeypatch):
+    rows, done = [row(i, prose(i % 30, 60)) for i in range(40)], []
     compact = substring_dedup.FingerprintIndex.compact
     monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", lambda self, *a: (compact(self, *a), done.append(len(self.state["runs"]))))
-    substring_dedup.substring_dedup(odd).collect()
-    assert done and done[-1] == 1
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert done == [1] and sorted(str(tuple(r)) for r in got) == brute_substring(rows)
 
 
 def test_planes_round_trip():
