@@ -38,6 +38,7 @@ class Frame:
     names: dict[str, str]  # public to internal, in order
     order: list[Key] = field(default_factory=list)
     stable: bool = True  # False after rows were taken without an order: read such a frame once only
+    sorted: bool = False  # True while rows come in the order already
 
     def col(self, name: str) -> Column:
         return F.col(self.names[name])
@@ -61,8 +62,11 @@ def load(df: DataFrame) -> Frame:
 def compile_plan(checked: Checked, table: Callable[[str], DataFrame]) -> DataFrame:
     frame = load(table(checked.plan.table))
     for step in checked.plan.steps:
+        was = frame.sorted
         frame = _STEPS[type(step).__name__](frame, step, table)
-    df = frame.df.orderBy(*(k.by for k in frame.order)) if frame.order else frame.df
+        top = isinstance(step, N.Take) and not (step.last or step.by or step.ties)
+        frame = replace(frame, sorted=top and bool(frame.order) or was and isinstance(step, (N.Pick, N.Rename)))
+    df = frame.df.orderBy(*(k.by for k in frame.order)) if frame.order and not frame.sorted else frame.df
     return df.select(*(F.col(c).alias(n) for n, c in frame.names.items()))
 
 
@@ -126,6 +130,7 @@ def _add(frame: Frame, s: N.Add, table) -> Frame:
             df = frame.df.join(groups, functools.reduce(operator.and_, on), "left") if by else frame.df.crossJoin(F.broadcast(groups))  # one row
         else:
             over = Window.partitionBy(*by) if by else Window.partitionBy()
+            made |= {c: F.median(compile(c.args[0], Env(frame.col))) for c in calls if c.name == "median"}
             df = source.df.withColumns({names[c]: made[c].over(over) for c in calls if c.name != "unique_count"})
             for c in calls:
                 if c.name == "unique_count":

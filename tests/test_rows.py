@@ -120,6 +120,15 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(id), GreaterThan(id,50)]" in plan and "unused" not in plan
 
 
+def test_taken_rows_are_not_sorted_again(spark):
+    df = spark.range(1000).selectExpr("id", "id * 7919 % 1000 AS k").repartition(5)
+    out = run("x then sort [k] descending then take 9 then pick [id, k] then rename [n] as [id]", x=df)
+    assert [r.k for r in out.collect()] == list(range(999, 990, -1)) and "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    for more in ("take_last 9", "take 9 then keep where [k] > 0", "take 9 then add [m] as row_number() then sort [m]", "take 9 with ties"):
+        got = [r.k for r in run(f"x then sort [k] descending then {more}", x=df).collect()]
+        assert len(got) == 9 and got == sorted(got, reverse=True), more
+
+
 def test_grouped_take_limits_before_the_shuffle(t):
     plan = run("sales then sort [id] then take 1 by [region]", **t)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
