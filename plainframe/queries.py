@@ -39,6 +39,7 @@ def _all() -> dict[str, tuple[str, str]]:
     put("keep_not_missing", "orders then add [x] as when([o_totalprice] > 200000, [o_totalprice]) then keep where [x] is not missing", "SELECT *, o_totalprice AS x FROM orders WHERE o_totalprice > 200000")
     put("keep_any", 'lineitem then keep where any name ends "discount" or name ends "tax" as value > 0.07', "SELECT * FROM lineitem WHERE l_discount > 0.07 OR l_tax > 0.07")
     put("keep_every", 'lineitem then keep where every name ends "discount" or name ends "tax" as value > 0.05', "SELECT * FROM lineitem WHERE l_discount > 0.05 AND l_tax > 0.05")
+    put("join_self", "nation then pick [n_nationkey, n_regionkey] then rename [key] as [n_nationkey], [region] as [n_regionkey] then join nation by [region] is [n_regionkey]", "SELECT a.n_nationkey AS key, a.n_regionkey AS region, b.* EXCLUDE (n_regionkey) FROM nation a LEFT JOIN nation b ON a.n_regionkey = b.n_regionkey")
     put("semi", "customer then keep where matching(orders, by [c_custkey] is [o_custkey])", "SELECT * FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
     put("anti", "part then keep where not matching(supplier, by [p_partkey] is [s_suppkey])", "SELECT * FROM part WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey)")
     # pick
