@@ -29,8 +29,8 @@ from .text import slices
 
 #: Rows at most, on average, that the frequent table is learned from, and pre-tokens it holds.
 SAMPLE_ROWS, TABLE_ENTRIES, TABLE_CHARS = 2_000, 50_000, 64
-#: Pre-tokens a worker's cache holds before it is emptied, and the longest one it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+#: Pre-tokens a worker's cache holds beside those of a slice, the longest one it keeps, and text bytes of a slice.
+CACHE_ENTRIES, CACHE_CHARS, SLICE_BYTES = 500_000, 64, 6_000_000
 #: The code points of Unicode's White_Space, by which the tokenizers split.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -56,7 +56,7 @@ def load(path: str) -> dict:
             by_bytes = (spec.get("pre_tokenizer") or {}) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec.get("normalizer")
             model.no_truncation()
             model.no_padding()
-            _worker.update(encode=lambda xs: [len(x) for x in model.encode_batch(xs, add_special_tokens=False)], whole=not by_bytes, special=re.compile("|".join(map(re.escape, strings))) if strings else None)
+            _worker.update(encode=lambda xs: [len(x) for x in model.encode_batch_fast(xs, add_special_tokens=False)], whole=not by_bytes, special=re.compile("|".join(map(re.escape, strings))) if strings else None)
         _worker.update(path=path, cache={}, frequent=None)
     return _worker
 
@@ -93,35 +93,36 @@ def _count(path: str, table):
         if tool["frequent"] != table.value.get("key"):
             tool["table"] = dict(zip(table.value["pieces"].to_pylist(), table.value["lengths"].tolist()))
             tool["cache"], tool["frequent"] = dict(tool["table"]), table.value["key"]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            counts = []
             if tool["whole"]:
                 counts = encode(texts)
             else:
-                cache = tool["cache"]
-                for text in texts:
-                    if special and special.search(text):
-                        counts.append(encode([text])[0])
-                        continue
-                    pieces = PRETOKEN.findall(text)
-                    own = cache
-                    misses = [x for x in set(pieces) if x not in cache]
-                    if misses:
-                        if len(cache) + len(misses) > CACHE_ENTRIES + len(tool["table"]):
-                            cache.clear()
-                            cache.update(tool["table"])
-                            misses = [x for x in set(pieces) if x not in cache]
-                        found = dict(zip(misses, encode(misses)))
-                        cache.update((x, n) for x, n in found.items() if len(x) <= CACHE_CHARS)
-                        if any(len(x) > CACHE_CHARS for x in misses):
-                            own = {x: found[x] if x in found else cache[x] for x in set(pieces)}
-                    counts.append(sum(map(own.__getitem__, pieces)))
+                whole = [bool(special and special.search(x)) for x in texts]
+                split = [() if w else PRETOKEN.findall(x) for x, w in zip(texts, whole)]
+                get = _lengths(tool, set().union(*split)).__getitem__
+                counts = [encode([x])[0] if w else sum(map(get, xs)) for x, w, xs in zip(texts, whole, split)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     return run
 
 
+def _lengths(tool: dict, needed: set[str]) -> dict[str, int]:
+    """The lengths of a slice's pre-tokens, and more: the worker's cache, or a part of it beside pieces too long to keep."""
+    misses = [x for x in needed if x not in tool["cache"]]
+    if len(tool["cache"]) + len(misses) > CACHE_ENTRIES + len(tool["table"]):
+        # What this slice shares with those before it is frequent.
+        tool["cache"] = tool["table"] | {x: tool["cache"][x] for x in needed if x in tool["cache"]}
+    cache = tool["cache"]
+    found = dict(zip(misses, tool["encode"](misses)))
+    long = {x: n for x, n in found.items() if len(x) > CACHE_CHARS}
+    if not long:
+        cache.update(found)
+        return cache
+    cache.update((x, n) for x, n in found.items() if x not in long)
+    return {x: long[x] if x in long else cache[x] for x in needed}
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_bytes (UTF-8), n_tokens, over_limit. tokenizer: a file's path."""
     spark = ship(docs.sparkSession)
