@@ -76,7 +76,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, in
         base += [(m.start(), 1, m.end(), m[0]) for m in BASE["access"].finditer(text) if len(m[0]) >= 18]
     base += [(m.start(), 2, m.end(), m[0]) for m in BASE["hex"].finditer(text)]
     more = []
-    if "PRIVATE KEY-----" in text:
+    if "PRIVATE KEY" in text:
         more += [(m.start(), 3, m.end(), _BREAK.sub("", m[1] or m[2] or "") or m[0]) for m in FURTHER["pem"].finditer(text)]
     if "eyJ" in text:
         more += [(m.start(), 4, m.end(), m[0]) for m in FURTHER["jwt"].finditer(text)]
