@@ -152,10 +152,15 @@ HOT_SHARE = 1000
 def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
     """left joined with right on key (how: inner or left), with no hot key's rows in one task.
 
-    right has a row for each key, and in n how many rows of left have it; total is no more than the
-    rows of left. Hot keys are HOT_SHARE at most, so right's rows for them go to every task and left's stay where they
-    are; the others meet by a shuffle. Both are best written tables, since each is read twice.
+    right has a row for each key, and in n how many rows of left have it; total is the sum of n or
+    more. Hot keys are HOT_SHARE at most, so right's rows for them go to every task and left's stay where they
+    are; the others meet by a shuffle. Both are best written tables, since each is read more than once.
     """
+    counts = right.agg(F.min(n).alias("least"), F.max(n).alias("most")).first()
+    if (counts.most or 0) * HOT_SHARE <= total:  # no key is hot
+        return left.join(right, key, how)
+    if counts.least * HOT_SHARE > total and how == "inner":  # all are, so right is small
+        return left.join(F.broadcast(right), key)
     hot, rest = right.filter(F.col(n) * HOT_SHARE > total), right.filter(F.col(n) * HOT_SHARE <= total)
     cold = left.join(F.broadcast(hot.select(key)), key, "left_anti")
     return left.join(F.broadcast(hot), key).unionByName(cold.join(rest, key, how))
