@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plainframe.llm import toxicity
 
@@ -93,6 +94,20 @@ def test_neighbours_are_exact(spark, fitted):
         assert abs(got[i].score - index.score(index.vote(near))) < 0.02
 
 
+@pytest.mark.parametrize("head,size,block", [(1, 96_000_000, 64), (10**9, 96_000_000, 7), (32, 4000 * 3, 1)])
+def test_neighbours_do_not_depend_on_what_is_dense(fitted, monkeypatch, head, size, block):
+    docs, _, index = fitted
+    texts = pa.array([r.text for r in docs.orderBy("doc_id").limit(150).collect()])
+    want = toxicity.Lookup(index)(texts)
+    monkeypatch.setattr(toxicity, "HEAD", head)
+    monkeypatch.setattr(toxicity, "HEAD_BYTES", size)
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    other = toxicity.Index(**index.__getstate__())
+    got = toxicity.Lookup(other)(texts)
+    assert [[round(s, 5) for s, _ in near] for _, near in got] == [[round(s, 5) for s, _ in near] for _, near in want]
+    assert np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-4)
+
+
 def test_equal_examples_vote_together_and_order_ignores_labels_and_ids(spark):
     texts = [(i, prose(i % 20, 40) + (" moronic worthless" if i % 20 < 5 else "")) for i in range(200)]
     one = [(i, t, int(i % 20 < 5)) for i, t in texts]
