@@ -47,16 +47,20 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import ship
-from .text import expand, slices
+from .text import expand, release, slices
 
 #: Labelled rows the classifier is fitted on at most, by label.
 POSITIVE, NEGATIVE = 2_000, 4_000
+#: Text bytes handled at a time.
+SLICE_BYTES = 4_000_000
 #: Letters of a word's beginnings that are terms beside the word.
 PREFIXES = (4, 5)
 #: Neighbours that vote, entries in a block, neighbours given as evidence, decimals of similarities.
 NEAREST, BLOCK, EVIDENCE, PLACES = 15, 256, 3, 6
 #: Share of the entries (one in so many) from which a term's list is dense, queries multiplied at a time, and what rounding may hide.
 HEAD, BATCH, SLACK = 32, 256, 1e-5
+#: Bytes of the dense lists at most; with longer texts the most frequent terms are dense. Neighbours are the same whatever is.
+HEAD_BYTES = 64_000_000
 
 
 def word_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -130,23 +134,30 @@ class Index:
     def invert(self) -> None:
         """The dense lists of frequent terms, and for the others a list for each term and block that has it; done once in each process."""
         n, n_terms = len(self.ids), len(self.names)
-        place = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.ends, prepend=0))
         df = np.bincount(self.terms, minlength=n_terms)
         frequent = np.flatnonzero(df * HEAD >= n)
+        frequent = np.sort(frequent[np.argsort(-df[frequent], kind="stable")[: HEAD_BYTES // (4 * n)]])
         self.column = np.full(n_terms, -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
-        dense = self.column[self.terms] >= 0
         self.head = np.zeros((n, len(frequent)), np.float32)
-        self.head[place[dense], self.column[self.terms[dense]]] = self.values[dense]
-        term, place, value = self.terms[~dense], place[~dense], self.values[~dense]
-        order = np.argsort(term, kind="stable")
-        term, self.places, self.weights = term[order], place[order].astype(np.intp), value[order]
+        for row, (terms, weights) in zip(self.head, self.vectors()):
+            c = self.column[terms]
+            row[c[c >= 0]] = weights[c >= 0]
+        at = np.flatnonzero(self.column[self.terms] < 0)
+        at = at[np.argsort(self.terms[at], kind="stable")]
+        term, self.places, self.weights = self.terms[at], np.searchsorted(self.ends, at, side="right"), self.values[at]
         block = self.places // BLOCK
         first = np.flatnonzero(np.concatenate(([True], (np.diff(term) != 0) | (np.diff(block) != 0))))[: len(term)]
         self.blocks, self.starts = block[first], np.append(first, len(term))
         self.highest = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0, np.float32)
         self.lists = np.searchsorted(term[first], np.arange(n_terms + 1))
 
+    def vectors(self, first: int = 0, last: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The entries' terms and weights."""
+        starts = np.concatenate(([0], self.ends))
+        for a, b in zip(starts[first:last].tolist(), self.ends[first:last].tolist()):
+            yield self.terms[a:b], self.values[a:b]
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}
 
@@ -198,7 +209,7 @@ class Index:
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray, masses: np.ndarray) -> None:
         """Isotonic regression of labels on votes, as the knots of a rising line."""
-        order = np.argsort(votes, kind="stable")
+        order = np.lexsort((labels, votes))
         pools: list[list[float]] = []
         for v, y, w in zip(votes[order], labels[order], masses[order]):
             pools.append([v * w, y * w, w])
@@ -217,7 +228,7 @@ class Index:
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each example's terms by name, and their counts, as bytes."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         names, cuts, term, n = count_terms(batch.column("text"))
         parts = list(zip(cuts[:-1], cuts[1:]))
         columns = [batch.column("id"), batch.column("label"), pa.array([names[term[a:b]].tobytes() for a, b in parts], pa.binary()), pa.array([n[a:b].astype(np.int32).tobytes() for a, b in parts], pa.binary())]
@@ -230,7 +241,7 @@ def _documents(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, rows = shared.value, 0
         df = np.zeros(len(names), np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             df += np.bincount(count_terms(batch.column("text"), names)[2], minlength=len(names))
             rows += batch.num_rows
         seen = np.flatnonzero(df)
@@ -271,7 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     del got, raw
     # Rows of a task and term, summed; the terms are bounded by the sample.
     shared = spark.sparkContext.broadcast(names)
-    counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_documents(shared), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_documents(shared), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    shared.destroy()
     df, term = np.zeros(len(names) + 1), counted["term"].to_numpy()
     df[np.where(term < 0, len(names), term)] = counted["df"].to_numpy()
     having = lambda y: np.bincount(np.concatenate([t for t, x in zip(terms, label) if x == y]), minlength=len(names))
@@ -290,25 +302,49 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         t, w = t[common[t]], w[common[t]]
         return (int(t[w.argmax()]), -float(w.max()), key) if len(t) else (-1, 0.0, key)
 
-    entries = sorted(((index.vector(terms[rows[0]], counts[rows[0]]), key, rows) for key, rows in same.items()), key=like)
+    def entries():
+        for key, rows in same.items():
+            t, w = index.vector(terms[rows[0]], counts[rows[0]])
+            yield (t, w.astype(np.float32)), key, rows
+
+    found = sorted(entries(), key=like)
     vote_of = {1: total.get(1, p) / p, 0: total.get(0, 1) / (n_all - p)}
-    least = min(vote_of.values())
-    mass = np.array([vote_of[y] / least for y in label.tolist()])
-    index.mass = np.array([mass[rows].sum() for _, _, rows in entries])
-    index.share = np.array([(mass[rows] * label[rows]).sum() / mass[rows].sum() for _, _, rows in entries])
-    index.ids = [min((ids[i] for i in rows), key=str) for _, _, rows in entries]
-    vectors = [v for v, _, _ in entries]
-    index.build(vectors)
-    votes, ys, ws = [], [], []
-    for i, (near, (_, _, rows)) in enumerate(zip(index.nearest(vectors, NEAREST + 1), entries)):
-        for y in {int(label[j]) for j in rows}:
-            votes.append(index.vote(near, (i, vote_of[y] / least, y)))
-            ys.append(y)
-            ws.append(vote_of[y] / least * sum(label[j] == y for j in rows))
-    index.calibrate(np.array(votes), np.array(ys, float), np.array(ws))
+    one = {y: v / min(vote_of.values()) for y, v in vote_of.items()}  # an example's weight, by label
+    mass = np.array([one[y] for y in label.tolist()])
+    index.mass = np.array([mass[rows].sum() for _, _, rows in found])
+    index.share = np.array([(mass[rows] * label[rows]).sum() / mass[rows].sum() for _, _, rows in found])
+    index.ids = [min((ids[i] for i in rows), key=str) for _, _, rows in found]
+    index.build([v for v, _, _ in found])
+    del terms, counts, same, found
+    shared, n = spark.sparkContext.broadcast(index), len(index.ids)
+    voted = spark.range(0, n, 1, max(1, n // 500)).mapInArrow(_votes(shared, one), "vote double, label int, mass double").toArrow()  # bounded by the sample
+    shared.destroy()
+    index.calibrate(*(voted.column(c).to_numpy().astype(float) for c in ("vote", "label", "mass")))
+    release()
     return index
 
 
+def _votes(shared, one: dict[int, float]):
+    """The examples' votes, each without itself: a row for each entry and label there. one: an example's weight, by label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places, out = batch.column("id").to_pylist(), []
+            for i, near in zip(places, index.nearest([v for k in places for v in index.vectors(k, k + 1)], NEAREST + 1)):
+                yes = float(index.mass[i] * index.share[i])
+                for y, mass in ((1, yes), (0, float(index.mass[i]) - yes)):
+                    if mass > one[y] / 2:
+                        out.append((index.vote(near, (i, one[y], y)), y, mass))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.float64(), pa.int32(), pa.float64()))], ["vote", "label", "mass"])
+        index.__dict__ = index.__getstate__()
+        release()
+
+    return run
+
+
 class Lookup:
     """Scores and nearest examples of texts; equal terms are looked up once for each call."""
 
@@ -333,7 +369,7 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         look = Lookup(index)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             found = look(batch.column("text"))
             near = [x[:EVIDENCE] for _, x in found]
             place = np.array([p for x in near for _, p in x], np.int64)
@@ -363,13 +399,13 @@ def held_out(id_col: str = "doc_id"):
 def _keep(shared, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(shared.value)
-        for batch in slices(batches, text_col):
-            yield batch.filter(pa.array([score < 0.5 for score, _ in look(batch.column(text_col))], pa.bool_()))
+        for batch in slices(batches, text_col, SLICE_BYTES):
+            yield batch.filter(pa.array([score < 0.5 or not near for score, near in look(batch.column(text_col))], pa.bool_()))
 
     return run
 
 
 def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs whose score is under 0.5."""
+    """The rows and columns of docs whose score is under 0.5, or that no neighbour speaks against."""
     spark = ship(docs.sparkSession)
     return docs.mapInArrow(_keep(spark.sparkContext.broadcast(index), text_col), docs.schema)
