@@ -19,7 +19,8 @@ intersection. Those that pass are confirmed or refused like all others. So the e
 bounded by members and bands, and no group's pairs are all emitted.
 
 Keys that many rows share are split: a class of many copies, a component of many classes and a node of many links by
-shared.hot_join, a centre's full set by a copy of it for every STAR edges.
+shared.hot_join, a centre's full set by a copy of it for every STAR edges. Buckets' own rows are a few numbers
+each, and adaptive execution splits the join of a hot one.
 
 Cases: ids may be of any type that has an order; a text without words has an empty set, and is linked with nothing; one of fewer words than a
 shingle is one shingle as a whole. Null ids come after all others. Rows that share id and text are
@@ -199,8 +200,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     classes = write_table(classes, "near-classes")
     keyed = signed.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi")
     keys = keyed.select(F.col("uid").alias("cid"), "n", F.posexplode("bands").alias("band", "key"))
-    shared = write_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-shared")
-    members = write_table(hot_join(keys, shared, "key", "size", BANDS * classes.count()).select("key", "band", "cid", "n"), "near-members")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    members = write_table(keys.join(shared, "key").select("key", "band", "cid", "n"), "near-members")
 
     # The full sets of the classes that share a bucket, from the texts of one row each.
     needed = signed.join(members.select(F.col("cid").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("cid"), F.col("id").alias("id_"), F.col("print").alias("print_"))
@@ -223,14 +224,13 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         """Members with the labels known by now, of buckets that hold several."""
         known = labels.select(F.col("node").alias("cid"), F.col("label").alias("new"))
         labelled = open_.join(known, "cid", "left").select("key", "cid", "n", F.coalesce("new", "cid").alias("label"))
-        labelled = write_table(labelled, "near-labelled")
-        undone = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("key", "size")
-        return write_table(hot_join(labelled, write_table(undone, "near-undone"), "key", "size", labelled.count()).select("key", "cid", "n", "label"), "near-open")
+        undone = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        return write_table(labelled.join(undone, "key", "left_semi"), "near-open")
 
     def starred(open_: DataFrame) -> DataFrame:
         """Members of other components than their bucket's centre, which is its smallest member."""
-        centre = write_table(open_.groupBy("key").agg(F.min(F.struct("cid", "n", "label")).alias("c"), F.count(F.lit(1)).alias("size")), "near-centres")
-        return hot_join(open_, centre, "key", "size", open_.count()).filter((F.col("cid") > F.col("c.cid")))
+        centre = open_.groupBy("key").agg(F.min(F.struct("cid", "n", "label")).alias("c"))
+        return open_.join(centre, "key").filter((F.col("cid") > F.col("c.cid")))
 
     def star_pairs(stars: DataFrame) -> DataFrame:
         near = (F.col("label") != F.col("c.label")) & near_size(F.col("n"), F.col("c.n"))
