@@ -28,8 +28,8 @@ ids may be of any type; other columns are never read; an empty table gives an em
 from __future__ import annotations
 
 import array
+import itertools
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -50,7 +50,7 @@ SLICE_BYTES, CACHE_WORDS, CACHE_UNITS = 6_000_000, 1_200_000, 700_000
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: A word of plain letters, then marks: the tokenizer lower-cases it and cuts it between the two, so both parts have ids of their own.
-PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?|*&%#$]*)").fullmatch
+PLAIN = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[.,;:!?|*&%#$]*)$"
 
 _worker: dict = {}
 
@@ -59,9 +59,12 @@ class _Vocabulary:
     """Ids of the units seen so far, in one growing buffer, and each unit's place in it."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
+        # For units, which are lower-cased and cut already: the same merges without the normaliser and the cutting.
+        self.units_only = Tokenizer(self.model.model)
+        self.units_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model.no_truncation()
         self.model.no_padding()
         with open(path, encoding="utf-8") as f:
@@ -76,18 +79,32 @@ class _Vocabulary:
         self.ids, self.starts = array.array("I", [END]), array.array("q", [0, 0, 1])  # unit 0 is empty, unit 1 the end token
         self.words, self.units = pa.array([], pa.string()), np.empty((0, 2), np.int32)
 
-    def learn(self, words: list[str]) -> np.ndarray:
-        """The places of the two units of words that are new."""
-        units = [(m[1].lower(), m[2]) if (m := PLAIN(x)) else (x, "") for x in words]
-        fresh = sorted({u for pair in units for u in pair if u not in self.place})
+    def unit_places(self, units: pa.Array, model) -> np.ndarray:
+        """The places of units, those that are new being encoded by model."""
+        coded = units.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        fresh = [u for u in distinct if u not in self.place]
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]
-            for x, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                self.place[x] = len(self.starts) - 1
-                self.ids.extend(e.ids)
-                self.starts.append(len(self.ids))
-        get = self.place.__getitem__
-        return np.array([(get(a), get(b)) for a, b in units], np.int32).reshape(-1, 2)
+            ids = [e.ids for e in model.encode_batch_fast(part, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.place.update(zip(part, range(len(self.starts) - 1, len(self.starts) - 1 + len(part))))
+            self.starts.frombytes((len(self.ids) + np.cumsum(sizes)).tobytes())
+            self.ids.frombytes(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, sizes.sum()).tobytes())
+        of = np.fromiter(map(self.place.__getitem__, distinct), np.int32, len(distinct))
+        return of[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """The places of the two units of words that are new."""
+        cut = pc.extract_regex(words, PLAIN)  # null where a word is not plain: then it is one unit
+        letters, marks = pc.struct_field(cut, "letters"), pc.struct_field(cut, "marks")
+        plain = cut.is_valid()
+        out = np.zeros((len(words), 2), np.int32)  # place 0 is the empty unit
+        at = plain.to_numpy(zero_copy_only=False)
+        out[~at, 0] = self.unit_places(words.filter(pc.invert(plain)), self.model)
+        out[at, 0] = self.unit_places(pc.utf8_lower(letters.filter(plain)), self.units_only)
+        out[at, 1] = self.unit_places(marks.filter(plain), self.units_only)
+        return out
 
     def places(self, distinct: pa.Array) -> np.ndarray:
         """The places of each word's two units."""
@@ -96,7 +113,7 @@ class _Vocabulary:
         at = pc.index_in(distinct, value_set=self.words)
         new = distinct.filter(pc.is_null(at))
         if len(new):
-            self.units = np.concatenate((self.units, self.learn(new.to_pylist())))
+            self.units = np.concatenate((self.units, self.learn(new)))
             self.words = pa.concat_arrays([self.words, new])
             place = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
             at = pc.fill_null(at, 0).to_numpy().copy()
