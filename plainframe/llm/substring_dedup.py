@@ -7,7 +7,7 @@ as higher than those before it, is handled in one exchange:
 
 - a sender (a slice of documents) hashes every window and sorts the hashes. A window that a lower
   id of the same slice has is settled there; of the rest it sends each owner one packed, sorted list.
-- the owner merges the lists of all senders with its part of every run. A window is repeated if a
+- the owner merges the lists of all senders with its part of every run, range of hashes by range. A window is repeated if a
   run holds its hash or a lower id of the batch has it. It answers with the repeated places, and the
   hashes that no run held become the batch's run.
 - compaction merges the runs into one once there are more than RUNS of them. It also splits owners whose part
@@ -30,17 +30,18 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import Files, new_path, partitions, passing, save, ship, write_table
-from .text import hashes, slices, windows, words
+from .text import hashes, release, slices, windows, words
 
 WINDOW = 13
 #: Shares of a whole table's ids at which its batches end.
@@ -49,6 +50,10 @@ BATCHES = (0.25, 0.5, 1.0)
 RUNS, OWNER_WINDOWS, SEND_BYTES = 1, 2_000_000, 6_000_000
 #: Bits of a window's hash.
 HASH_BITS = 56
+#: Windows of a row at most (rows of megabytes make a JVM's heap grow to its end), bytes of the rows that Python hands over at a time, windows that an owner sorts at a time.
+ROW_WINDOWS, TABLE_BYTES, SORT_WINDOWS = 16_384, 2_000_000, 131_072
+#: Rows of a run that Spark reads at a time.
+RUN_ROWS = "16"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -75,6 +80,26 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(from_planes(data), dtype=np.uint64)
 
 
+def _cut_at(cuts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The stretches between cuts, in pieces of ROW_WINDOWS at most."""
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        for at in range(a, b, ROW_WINDOWS):
+            yield at, min(b, at + ROW_WINDOWS)
+
+
+def _tables(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of little more than TABLE_BYTES."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= TABLE_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
+
+
 SENT = "owner int, hashes binary, checks binary, docs binary, places binary, ids binary, prints binary, settled boolean"
 
 
@@ -99,11 +124,15 @@ def _send(owner_bits: int, k: int):
         first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         later = ids[doc] > ids[first]
         if later.any():
-            yield 0, None, None, *docs_of(doc[later], place[later], ids, prints), True
+            settled_doc, settled_place = doc[later], place[later]
+            for a, b in _cut_at(np.array([0, len(settled_doc)])):
+                x = docs_of(settled_doc[a:b], settled_place[a:b], ids, prints)
+                # Settled rows go to any owner, spread by their first id.
+                yield int(np.frombuffer(x[2][:8], np.int64)[0] % (1 << owner_bits)), None, None, *x, True
         h, doc, place, check = h[~later], doc[~later], place[~later], check[~later]
         owner = (h >> np.uint64(HASH_BITS - owner_bits)).astype(np.int64)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]))
-        for a, b in zip(cuts[:-1], cuts[1:]):
+        for a, b in _cut_at(cuts):
             yield int(owner[a]), pack(h[a:b]), check[a:b].tobytes(), *docs_of(doc[a:b], place[a:b], ids, prints), False
 
     def docs_of(doc: np.ndarray, place: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
@@ -116,11 +145,7 @@ def _send(owner_bits: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SEND_BYTES):
-            out = list(rows(batch))
-            if out:
-                # Settled rows go to any owner, spread by their first id.
-                out = [(int(np.frombuffer(x[5][:8], np.int64)[0] % (1 << owner_bits)), *x[1:]) if x[-1] else x for x in out]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+            yield from _tables(rows(batch), names, kinds)
 
     return run
 
@@ -134,8 +159,8 @@ _NAMES = ["kind", "place", "ids", "prints", "counts", "data", "checks"]
 _KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
 
 
-def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
+def _table(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
+    return pa.Table.from_batches(_tables(rows, names, kinds), pa.schema(list(zip(names, kinds))))
 
 
 def _answer(ids: np.ndarray, prints: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int) -> list[tuple]:
@@ -153,42 +178,78 @@ def _answer(ids: np.ndarray, prints: np.ndarray, doc: np.ndarray, place: np.ndar
     return out
 
 
+def _ranges(parts: list[tuple], most: int) -> Iterator[list[tuple]]:
+    """Parts (sorted hashes, and arrays beside them) range of hashes by range, about `most` windows in each; equal hashes are in one."""
+    low, high = min(int(x[0][0]) for x in parts), max(int(x[0][-1]) for x in parts)
+    n = 1 + sum(len(x[0]) for x in parts) // most
+    edges = np.array([low + (high - low) * i // n for i in range(1, n)], np.uint64)
+    cuts = [[0, *np.searchsorted(x[0], edges).tolist(), len(x[0])] for x in parts]
+    for i in range(n):
+        yield [tuple(y[c[i] : c[i + 1]] for y in x) for x, c in zip(parts, cuts) if c[i] < c[i + 1]]
+
+
+def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of runs (sorted hashes, checks) as one, sorted by hash."""
+    h, check = map(np.concatenate, zip(*sorted(parts, key=lambda x: x[0][0])))
+    if (h[1:] < h[:-1]).any():  # of several runs
+        order = np.argsort(h, kind="stable")
+        h, check = h[order], check[order]
+    return h, check
+
+
 def _own(keep_run: bool, buckets: int):
-    def run(sent: pa.Table, runs: pa.Table) -> pa.Table:
-        out, h, check, doc, place, ids, prints, base = [], [], [], [], [], [], [], 0
+    def rows(sent: pa.Table, runs: pa.Table) -> Iterator[tuple]:
+        parts, ids, prints, base = [], [], [], 0
         owner = None
-        for row in (r for b in sent.to_batches(max_chunksize=64) for r in b.to_pylist()):
+        for row in (r for b in sent.to_batches(max_chunksize=16) for r in b.to_pylist()):
             owner = row["owner"]
             d, p = from_planes(row["docs"], np.uint32), from_planes(row["places"], np.uint32)
             i = np.frombuffer(row["ids"][:8], np.int64) + np.cumsum(from_planes(row["ids"][8:]).astype(np.int64))
             q = from_planes(row["prints"], np.uint32)
             if row["settled"]:
-                out += _answer(i, q, d, p, buckets)
+                yield from _answer(i, q, d, p, buckets)
                 continue
-            h.append(unpack(row["hashes"]))
-            check.append(np.frombuffer(row["checks"], np.uint32))
-            doc.append(d + np.uint32(base))
-            place.append(p)
+            parts.append((unpack(row["hashes"]), np.frombuffer(row["checks"], np.uint32), d + np.uint32(base), p))
             ids.append(i)
             prints.append(q)
             base += len(i)
-        if h:
-            h, check, doc, place, ids, prints = map(np.concatenate, (h, check, doc, place, ids, prints))
+        if not parts:
+            return
+        ids, prints = np.concatenate(ids), np.concatenate(prints)
+        run = sorted(((unpack(r["data"]), np.frombuffer(r["checks"], np.uint32)) for b in runs.to_batches(max_chunksize=16) for r in b.to_pylist()), key=lambda x: x[0][0])
+        found, fresh = [], []
+        for part in _ranges(parts, SORT_WINDOWS):
+            if not part:
+                continue
+            h, check, doc, place = map(np.concatenate, zip(*part))
             order = np.lexsort((check, h))
             h, check, doc, place = h[order], check[order], doc[order], place[order]
             held = np.zeros(len(h), bool)
-            for row in runs.to_pylist():
-                held |= holds(unpack(row["data"]), np.frombuffer(row["checks"], np.uint32), h, check)
+            within = [(x[a:b], y[a:b]) for x, y in run if x[0] <= h[-1] and x[-1] >= h[0] for a, b in [(np.searchsorted(x, h[0]), np.searchsorted(x, h[-1], "right"))] if a < b]
+            if within:
+                held = holds(*_joined(within), h, check)
             starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1]))))
             who = ids[doc]
             lowest = np.repeat(np.minimum.reduceat(who, starts), np.diff(np.append(starts, len(h))))
             repeated = held | (who > lowest)
-            if repeated.any():
-                out += _answer(ids, prints, doc[repeated], place[repeated], buckets)
-            fresh = starts[~held[starts]]
-            if keep_run and len(fresh):
-                out.append((1, owner, None, None, None, pack(h[fresh]), check[fresh].tobytes()))
-        return _table(out, _NAMES, _KINDS)
+            found.append((doc[repeated], place[repeated]))
+            if keep_run:
+                starts = starts[~held[starts]]
+                fresh.append((h[starts], check[starts]))
+        del parts, run
+        doc, place = map(np.concatenate, zip(*found))
+        if len(doc):
+            yield from _answer(ids, prints, doc, place, buckets)
+        if keep_run:
+            h, check = map(np.concatenate, zip(*fresh))
+            for a, b in _cut_at(np.array([0, len(h)])):
+                yield 1, owner, None, None, None, pack(h[a:b]), check[a:b].tobytes()
+
+    def run(sent: pa.Table, runs: pa.Table) -> pa.Table:
+        try:
+            return _table(rows(sent, runs), _NAMES, _KINDS)
+        finally:
+            release()
 
     return run
 
@@ -228,20 +289,41 @@ def holds(run: np.ndarray, run_check: np.ndarray, h: np.ndarray, check: np.ndarr
 def _merge(owner_bits: int):
     """An owner's parts of all runs as one, without repetition, dealt to owners of so many bits."""
 
+    def rows(part: pa.Table) -> Iterator[tuple]:
+        parts = [(unpack(r["data"]), np.frombuffer(r["checks"], np.uint32)) for b in part.to_batches(max_chunksize=16) for r in b.to_pylist()]
+        for piece in _ranges(parts, SORT_WINDOWS):
+            if not piece:
+                continue
+            h, check = map(np.concatenate, zip(*piece))
+            order = np.lexsort((check, h))
+            h, check = h[order], check[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
+            h, check = h[new], check[new]
+            owner = (h >> np.uint64(HASH_BITS - owner_bits)).astype(np.int64)
+            for a, b in _cut_at(np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]))):
+                yield int(owner[a]), pack(h[a:b]), check[a:b].tobytes()
+
     def run(part: pa.Table) -> pa.Table:
-        h = np.concatenate([unpack(x) for x in part.column("data").to_pylist()])
-        check = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("checks").to_pylist()])
-        order = np.lexsort((check, h))
-        h, check = h[order], check[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
-        h, check = h[new], check[new]
-        owner = (h >> np.uint64(HASH_BITS - owner_bits)).astype(np.int64)
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]))
-        return _table([(int(owner[a]), pack(h[a:b]), check[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])], ["owner", "data", "checks"], [pa.int32(), pa.binary(), pa.binary()])
+        try:
+            return _table(rows(part), ["owner", "data", "checks"], [pa.int32(), pa.binary(), pa.binary()])
+        finally:
+            release()
 
     return run
 
 
+@contextlib.contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """While runs are read: RUN_ROWS of them at a time."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, RUN_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class FingerprintIndex:
     """Window hashes of all batches so far, in a folder that all executors share; None: one that goes when the driver ends."""
 
@@ -274,7 +356,8 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run-{uuid.uuid4().hex}"
-        save(rows, f"{self.path}/{name}")
+        with _few_rows(self.spark):
+            save(rows, f"{self.path}/{name}")
         return name
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
@@ -291,7 +374,8 @@ class FingerprintIndex:
         out = sent.groupBy("owner").cogroup(self._held().groupBy("owner")).applyInArrow(_own(not last, buckets), ANSWER)
         name = uuid.uuid4().hex
         batch = passing(self.spark, f"{self.path}/batch-{name}")
-        save(out.withColumnRenamed("place", "owner"), batch, by="kind")
+        with _few_rows(self.spark):
+            save(out.withColumnRenamed("place", "owner"), batch, by="kind")
         if not last:
             runs = [f"run-{name}"] if self.files.move(f"batch-{name}/kind=1", f"run-{name}") else []
             self._commit(runs=[*self.state["runs"], *runs], n_windows=self.state["n_windows"] + n_windows)

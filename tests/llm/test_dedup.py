@@ -1,8 +1,12 @@
 """Exact, near, substring and line deduplication against brute force."""
 
+import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from plainframe.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
 from pyspark.sql import functions as F
@@ -177,6 +181,64 @@ def test_compaction_runs_in_the_query(spark, monkeypatch):
     assert done == [1] and sorted(str(tuple(r)) for r in got) == brute_substring(rows)
 
 
+def handed_on(docs, run):
+    """One owner's rows of a batch, what it makes of them and of a run, and the bytes it takes for each window at most."""
+    batch = pa.RecordBatch.from_pylist([{"id": i, "print": 0, "text": t} for i, t in docs])
+    sent = list(substring_dedup._send(0, 13)(iter([batch])))
+    whole = pa.Table.from_batches(sent)
+    own = substring_dedup._own(True, 64)
+    tracemalloc.start()
+    out = own(whole, run)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    new = out.filter(pc.equal(out.column("kind"), 1))
+    made = pa.table({"owner": new.column("place"), "data": new.column("data"), "checks": new.column("checks")})
+    found = substring_dedup._gather(out.filter(pc.equal(out.column("kind"), 0))).to_pylist() if len(out) > len(new) else []
+    return sent, out, made, {(r["id"], int(p)) for r in found for p in substring_dedup.from_planes(r["data"], np.uint32)}, most / sum(len(x) // 4 for x in whole.column("checks").to_pylist() if x)
+
+
+NO_RUN = pa.table({"owner": pa.array([], pa.int32()), "data": pa.array([], pa.binary()), "checks": pa.array([], pa.binary())})
+
+
+def test_rows_and_sorts_of_large_owners_are_bounded():
+    r = random.Random(3)
+    docs = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(100_000))) for i in range(4)]
+    sent, out, run, found, most = handed_on(docs, NO_RUN)
+    assert found == set() and most < 70
+    for batches in (sent, out.to_batches(), substring_dedup._merge(1)(run).to_batches()):
+        assert len(batches) > 1 and max(b.nbytes for b in batches) < 3_000_000
+        assert max(len(x) // 4 for b in batches for x in b.column("checks").to_pylist() if x) < 20_000
+
+
+@pytest.mark.parametrize("row_windows,sort_windows", [(1, 1), (3, 10), (16, 1000)])
+def test_cut_rows_and_sorts_give_the_same(monkeypatch, row_windows, sort_windows):
+    first = [(i, prose(i % 5, 60) + " " + prose(50 + i, 20)) for i in range(12)]
+    later = [(100 + i, prose(i % 7, 60) + " " + prose(70 + i % 3, 30)) for i in range(12)]
+    want = [{(d, i) for d, i in repeats(first)}, {(d, i) for d, i in repeats(first + later) if d >= 100}]
+    merged = substring_dedup._merge(2)
+    plain = merged(pa.concat_tables([(run := handed_on(first, NO_RUN)[2]), handed_on(later, run)[2], run]))
+    for name, value in (("ROW_WINDOWS", row_windows), ("SORT_WINDOWS", sort_windows), ("TABLE_BYTES", 100)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    *_, run, found, _ = handed_on(first, NO_RUN)
+    *_, more, found_later, _ = handed_on(later, run)
+    assert [found, found_later] == want and all(want)
+    # of several runs, with windows that both hold
+    assert handed_on(later, pa.concat_tables([more, run, run]))[3] == {(d, i) for d, t in later for i in range(len(t.split()) - 12)}
+    assert contents(merged(pa.concat_tables([run, more, run]))) == contents(plain)
+
+
+def repeats(docs, k=13):
+    places = [(d, i, tuple(t.split()[i : i + k])) for d, t in docs for i in range(len(t.split()) - k + 1)]
+    low = {}
+    for d, _, w in places:
+        low[w] = min(low.get(w, d), d)
+    return [(d, i) for d, i, w in places if low[w] < d]
+
+
+def contents(run):
+    return sorted((r["owner"], int(h), int(c)) for r in run.to_pylist() for h, c in zip(substring_dedup.unpack(r["data"]), np.frombuffer(r["checks"], np.uint32)))
+
+
 def test_planes_round_trip():
     for values in (np.array([0], np.uint64), np.array([1, 2**40, 2**63], np.uint64), np.empty(0, np.uint64)):
         assert (substring_dedup.unpack(substring_dedup.pack(values)) == values).all()
