@@ -52,8 +52,8 @@ RUNS, OWNER_WINDOWS, SEND_BYTES = 1, 2_000_000, 6_000_000
 HASH_BITS = 56
 #: Windows of a row at most (rows of megabytes make a JVM's heap grow to its end), bytes of the rows that Python hands over at a time, windows that an owner sorts at a time.
 ROW_WINDOWS, TABLE_BYTES, SORT_WINDOWS = 16_384, 2_000_000, 131_072
-#: Rows of a run that Spark reads at a time.
-RUN_ROWS = "16"
+#: While an index is added to or compacted: rows that Spark reads at a time, bytes that it hands to Python at a time.
+FEW = {"spark.sql.parquet.columnarReaderBatchSize": "16", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -314,14 +314,15 @@ def _merge(owner_bits: int):
 
 @contextlib.contextmanager
 def _few_rows(spark: SparkSession) -> Iterator[None]:
-    """While runs are read: RUN_ROWS of them at a time."""
-    key = "spark.sql.parquet.columnarReaderBatchSize"
-    before = spark.conf.get(key)
-    spark.conf.set(key, RUN_ROWS)
+    """While rows of an index are read and handed over: as few at a time as FEW says."""
+    before = {key: spark.conf.get(key) for key in FEW}
+    for key, value in FEW.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 class FingerprintIndex:
