@@ -50,7 +50,7 @@ BATCHES = (0.25, 0.5, 1.0)
 RUNS, OWNER_WINDOWS, SEND_BYTES = 1, 2_000_000, 6_000_000
 #: Bits of a window's hash.
 HASH_BITS = 56
-#: Windows of a row at most (rows of megabytes make a JVM's heap grow to its end), bytes of the rows that Python hands over at a time, windows that an owner sorts at a time.
+#: Windows of a row at most (rows of megabytes cost a JVM several times their size), bytes of the rows that Python hands over at a time, windows that an owner sorts at a time.
 ROW_WINDOWS, TABLE_BYTES, SORT_WINDOWS = 16_384, 2_000_000, 131_072
 #: While an index is added to or compacted: rows that Spark reads at a time, bytes that it hands to Python at a time.
 FEW = {"spark.sql.parquet.columnarReaderBatchSize": "16", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
