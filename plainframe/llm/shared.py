@@ -5,18 +5,27 @@ from __future__ import annotations
 import contextlib
 import pathlib
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .text import release
+
 _own: dict[str, str] = {}
 #: Paths of the tables that stand now; all are deleted when the driver ends.
 _made: list[str] = []
 #: Once a step's result stands in a table, its shuffle files are of no more use; else they stay until the driver happens to collect garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Giving memory back takes the driver one second in so many at most.
+GIVE_BACK_SHARE = 20
+#: When the driver last gave memory back, and the seconds that it took.
+_gave = {"at": 0.0, "took": 0.0}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set and one process does all (tests)."""
@@ -85,8 +94,46 @@ class Files:
         files.delete(where, True)
 
 
+def trim(spark: SparkSession) -> str:
+    """Give back what the driver's JVM has freed outside its heap (jcmd System.trim_native_heap); what it says, empty where it can't.
+
+    Its compilers and codecs allocate on many threads, and the allocator keeps what they free.
+    """
+    jvm = spark._jvm
+
+    def array(kind, *values):
+        out = spark.sparkContext._gateway.new_array(kind, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    text, any_ = jvm.java.lang.String, jvm.java.lang.Object
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    arguments = array(any_, command, "systemTrimNativeHeap", array(any_, array(text)), array(text, "[Ljava.lang.String;"))
+    try:
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), arguments)
+    except Py4JJavaError:  # not on this system, or a JVM before 17.0.9
+        return ""
+
+
+def give_back(spark: SparkSession) -> bool:
+    """Give back the memory that the driver's JVM and Python no longer use, unless that was done just now; whether it was done.
+
+    Else plans, task records and broadcasts of steps long done stay until the heap is nearly full.
+    """
+    began = time.monotonic()
+    if began - _gave["at"] < GIVE_BACK_SHARE * _gave["took"]:
+        return False
+    spark._jvm.System.gc()
+    trim(spark)
+    release()
+    _gave.update(at=time.monotonic(), took=time.monotonic() - began)
+    return True
+
+
 def save(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Write df as Parquet, in a folder for each value of by if given; its shuffle files go."""
+    """Write df as Parquet, in a folder for each value of by if given; its shuffle files go, and with them what the driver has freed."""
     spark = df.sparkSession
     before = spark.conf.get(CLEAN_UP)
     spark.conf.set(CLEAN_UP, "true")
@@ -94,6 +141,7 @@ def save(df: DataFrame, path: str, by: str | None = None) -> None:
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
+    give_back(spark)
 
 
 def write_table(df: DataFrame, name: str, even: bool = True) -> DataFrame:

@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import ship
+from .shared import give_back, ship
 from .text import expand, release, slices
 
 #: Labelled rows the classifier is fitted on at most, by label.
@@ -320,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     voted = spark.range(0, n, 1, max(1, n // 500)).mapInArrow(_votes(shared, one), "vote double, label int, mass double").toArrow()  # bounded by the sample
     shared.destroy()
     index.calibrate(*(voted.column(c).to_numpy().astype(float) for c in ("vote", "label", "mass")))
-    release()
+    give_back(spark)
     return index
 
 
